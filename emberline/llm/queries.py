@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash_dedup
+from . import exact_dedup, mixing, packing, quality_rules, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {"op3_mixing": op3_mixing, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_simhash_dedup": op10_simhash_dedup}
+QUERIES = {"op3_mixing": op3_mixing, "op4_quality_rules": op4_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_simhash_dedup": op10_simhash_dedup}
 SQL = {"op3_mixing": mixing.MIX_SQL, "op6_exact_dedup": OP6_SQL}
