@@ -12,6 +12,9 @@ U64 = np.uint64
 #: Bytes hashed at once; tables of powers have this size.
 SLICE = 1 << 20
 IS_SPACE = np.zeros(256, bool)
+#: Bytes between bare words: white space and ASCII punctuation.
+IS_MARK = np.zeros(256, bool)
+IS_MARK[[*range(9, 14), *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -86,13 +89,14 @@ class Words:
     first[i] up to, not including, first[i + 1].
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, apart: np.ndarray = IS_SPACE):
+        """``apart`` marks the bytes between words; it must mark the line feed."""
         joined = b"\n".join(texts) + b"\n"
         data = np.frombuffer(joined, np.uint8)
         self.data = LOWER[data] if lower else data
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        space = IS_SPACE[self.data]
+        space = apart[self.data]
         inside = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             inside = np.concatenate(([0], inside))
