@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_rules, simhash_dedup
+from . import exact_dedup, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("passages")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -37,5 +45,16 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_quality_rules": op4_quality_rules, "op6_exact_dedup": op6_exact_dedup, "op9_packing": op9_packing, "op10_simhash_dedup": op10_simhash_dedup}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_mixing,
+        op4_quality_rules,
+        op5_toxicity,
+        op6_exact_dedup,
+        op8_quality_classifier,
+        op9_packing,
+        op10_simhash_dedup,
+    )
+}
 SQL = {"op3_mixing": mixing.MIX_SQL, "op6_exact_dedup": OP6_SQL}
