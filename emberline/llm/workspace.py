@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -31,9 +33,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._emberline_path = path
+    release(spark)
     return table
 
 
+#: Rows up to which a written table is broadcast to a join.
+SMALL_ROWS = 300_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A table of ``materialise`` for one side of a join: broadcast if its counted rows are few, else as it is."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of ``materialise``; only when no later plan reads it."""
     context = table.sparkSession.sparkContext
@@ -43,7 +61,7 @@ def discard(table: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the bytes that ``df`` reads; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
