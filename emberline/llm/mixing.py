@@ -68,7 +68,8 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     keeps its own row. No rows in, no rows out. Extra columns are ignored.
     """
     docs = pick(docs, "doc_id", "text", "source")
-    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    name = F.to_json("doc_id") if docs.schema["doc_id"].dataType.typeName() == "struct" else F.col("doc_id").cast("string")
+    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(name, F.lit("null"))).cast("binary"))
     sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), rank.alias("rank")), "sizes")
     sized = sized.withColumn("range", F.substring("rank", 1, RANGE_DIGITS))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -92,7 +93,31 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
-#: The same rows in DuckDB; {documents} is the table, {head} and {seed} as above.
+def repeated(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with all columns.
+
+    Every whole repetition is a row, and a part is a row with the first words of
+    the text, up to the last word taken. A text without words takes no row.
+    """
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    rows = docs.select(whole.alias("row"), docs["doc_id"].alias("d_id"), docs["source"].alias("d_source"), key.alias("d_key"))
+    named = docs.select(F.struct(docs["doc_id"], key.alias("key")).alias("doc_id"), docs["text"], docs["source"])
+    taken = mix(named, seed, weights, share, epochs).filter("taken > 0")
+    # rows that repeat an id and its text are told apart by their rank alone, so any of them may take any share
+    copies = taken.groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.any_value("size").alias("size"))
+    copies = copies.select(F.col("doc_id.doc_id").alias("m_id"), F.col("doc_id.key").alias("m_key"), F.col("source").alias("m_source"), "taken", "size")
+    same = F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_key") == F.col("m_key")) & F.col("d_source").eqNullSafe(F.col("m_source"))
+    one = rows.dropDuplicates(["d_id", "d_key", "d_source"]).join(copies, same)
+    one = one.withColumn("times", F.expr("taken div size").cast("int")).withColumn("part", F.expr("taken % size").cast("int"))
+    full = one.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("row.*")
+    words = F.regexp_extract_all("row.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    head = F.array_join(F.slice(words, 1, F.col("part")), "")
+    part = one.filter("part > 0").withColumn("head", head).select(*[F.col("head").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return full.unionAll(part)
+
+
+#: The same rows in DuckDB, with the fixed values written out.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

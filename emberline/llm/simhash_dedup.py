@@ -204,3 +204,22 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radiu
     lows = named.select("print", "root").join(lows, "root").select("print", "component_id")
     out = prints.join(lows, "print", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, with all columns: a row with the least doc_id.
+
+    Rows that repeat that doc_id are one document: one of them stays, the first by
+    a hash of its text. Null ids form a document together with their group.
+    """
+    groups = near_groups(docs, shingle, seed, radius).select("component_id").distinct().withColumnRenamed("component_id", "c_id")
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(whole.alias("row"), docs["doc_id"].alias("d_id"))
+    rows = rows.join(groups, F.col("d_id").eqNullSafe(F.col("c_id")), "left_semi")
+    # only ids that occur more than once are ranked
+    n = rows.groupBy("d_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("row.text")).alias("h")).filter("n > 1").withColumnRenamed("d_id", "n_id")
+    rows = rows.join(n, F.col("d_id").eqNullSafe(F.col("n_id")), "left")
+    single = rows.filter("n IS NULL").select("row")
+    several = rows.filter("n IS NOT NULL").filter(F.xxhash64("row.text") == F.col("h"))
+    several = several.groupBy("d_id").agg(F.any_value("row").alias("row")).select("row")
+    return single.unionAll(several).select("row.*")
