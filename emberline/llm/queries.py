@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
+from . import exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -52,6 +57,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op3_mixing,
         op4_quality_rules,
         op5_toxicity,
