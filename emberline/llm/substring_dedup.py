@@ -253,7 +253,9 @@ def _spans(length: int):
             raw = h.astype("<u8")
 
             def runs(place: np.ndarray, to: np.ndarray):
-                cut = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(to) != 0) | (np.diff(owner[place]) != 0)))) if len(place) else np.empty(0, int)
+                if not len(place):
+                    return
+                cut = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(to) != 0) | (np.diff(owner[place]) != 0))))
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(place)], strict=True):
                     yield int(place[a]), int(place[b - 1]) + length, int(to[a])
 
