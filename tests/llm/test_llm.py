@@ -193,7 +193,7 @@ def test_lm_scoring(docs, texts, empty):
         base = sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(base) and r.score <= 0
-    many = {r.doc_id: r.score for r in lm_scoring.score(docs, round_bytes=100).collect()}
+    many = {r.doc_id: r.score for r in lm_scoring.score(docs, round_bytes=3000).collect()}
     assert all(many[r.doc_id] == pytest.approx(r.score) for r in got)
     assert lm_scoring.score(empty).count() == 0
 
