@@ -13,6 +13,9 @@ whose sequence also starts elsewhere are removed, wherever it stands first.
    that refer to it are streamed through it for matching statistics: where the
    longest match that ends at a word has ``length`` words or more, they are removed.
 
+A block is stored as one row of compressed texts. Replies to a block hold no keys: it
+hashes its texts again and finds the same keys in the same order.
+
 Passages grow with the corpus, so automata are not broadcast to all workers but go to
 the tasks that hold a shard's runs; a shard with many runs is given to several tasks.
 """
@@ -140,31 +143,50 @@ def _by_bucket(block: int, keys: np.ndarray, bits: int):
 
 
 ASK = "block long, bucket int, keys binary, twice binary"
-TELL = "block long, keys binary, first binary"
+TELL = "block long, bucket int, windows boolean, first binary"
+STORE = "block long, doc_id array<bigint>, size array<int>, texts binary"
+
+
+def _repeated(windows: bool):
+    """To each block, for its keys in order, the first block that has each; -1 for keys that occur once in all."""
+
+    def run_(table):
+        import pyarrow as pa
+
+        blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
+        keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+        twice = np.concatenate([np.frombuffer(t, np.uint8) for t in table.column("twice").to_pylist()])
+        sizes = np.array([len(k) for k in keys])
+        unique, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(back, weights=1.0 + twice, minlength=len(unique))
+        first = np.full(len(unique), np.iinfo(np.int64).max)
+        np.minimum.at(first, back, np.repeat(np.array(blocks), sizes))
+        first[count < 2] = -1
+        out, at = [], 0
+        for block, bucket, n in zip(blocks, buckets, sizes.tolist(), strict=True):
+            own = first[back[at : at + n]]
+            at += n
+            if (own >= 0).any():
+                out.append((block, bucket, windows, _planes(own)))
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "bucket", "windows", "first"])
+
+    return run_
 
 
-def _repeated(table):
-    """To each block, its keys that occur twice or more in all, with the first block that has each."""
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit integers, the lowest byte of each first, then the next ones: most of these are alike and compress well."""
     import pyarrow as pa
 
-    blocks = table.column("block").to_numpy()
-    keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
-    twice = np.concatenate([np.frombuffer(t, np.uint8) for t in table.column("twice").to_pylist()])
-    sizes = np.array([len(k) for k in keys])
-    unique, back = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(back, weights=1.0 + twice, minlength=len(unique))
-    first = np.full(len(unique), np.iinfo(np.int64).max)
-    np.minimum.at(first, back, np.repeat(blocks, sizes))
-    out, at = {"block": [], "keys": [], "first": []}, 0
-    for block, k in zip(blocks.tolist(), keys, strict=True):
-        own = back[at : at + len(k)]
-        at += len(k)
-        many = count[own] > 1
-        if many.any():
-            out["block"].append(block)
-            out["keys"].append(k[many].tobytes())
-            out["first"].append(first[own[many]].astype("<i8").tobytes())
-    return pa.table({"block": pa.array(out["block"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "first": pa.array(out["first"], pa.binary())})
+    raw = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _from_planes(packed: bytes, n: int) -> np.ndarray:
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view("<i8").ravel()
 
 
 def _store(batches):
@@ -173,27 +195,32 @@ def _store(batches):
 
     block = TaskContext.get().partitionId() << 24
     for texts, rest in grouped(batches, BLOCK, ["doc_id"]):
-        n = len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(rest["doc_id"], pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["block", "ord", "doc_id", "text"])
+        packed = pa.Codec("zstd").compress(b"".join(texts), asbytes=True)
+        columns = [pa.array([block], pa.int64()), pa.array([rest["doc_id"]], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([packed], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "size", "texts"])
         block += 1
 
 
-def _texts(table):
-    """Of a block's rows: its number, words in order of ``ord``, and the rows in that order."""
+def _words(table, row: int = 0) -> tuple[int, Words]:
+    """A stored block's number and the words of its texts."""
     import pyarrow as pa
 
-    table = table.take(np.argsort(table.column("ord").to_numpy(), kind="stable"))
-    return table.column("block")[0].as_py(), Words(table.column("text").cast(pa.large_binary()).to_pylist()), table
+    sizes = table.column("size")[row].as_py()
+    data = pa.Codec("zstd").decompress(table.column("texts")[row].as_py(), sum(sizes), asbytes=True)
+    ends = np.cumsum([0, *sizes]).tolist()
+    return table.column("block")[row].as_py(), Words([data[a:b] for a, b in zip(ends, ends[1:], strict=False)])
 
 
-def _told(table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted repeated keys of a block, and the first block of each."""
-    if not table.num_rows:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    keys = np.concatenate([np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()])
-    first = np.concatenate([np.frombuffer(k, "<i8") for k in table.column("first").to_pylist()])
-    order = np.argsort(keys)
-    return keys[order], first[order]
+def _answers(keys: np.ndarray, told, windows: bool, bits: int) -> np.ndarray:
+    """For each of a block's sorted keys, the first block that has it, -1 if it occurs once in all."""
+    first = np.full(len(keys), -1)
+    to = (keys >> U64(64 - bits)).astype(np.int64)
+    buckets = told.column("bucket").to_numpy()
+    starts, stops = np.searchsorted(to, buckets), np.searchsorted(to, buckets, "right")
+    for kind, a, b, packed in zip(told.column("windows").to_pylist(), starts.tolist(), stops.tolist(), told.column("first").to_pylist(), strict=True):
+        if kind == windows:
+            first[a:b] = _from_planes(packed, b - a)
+    return first
 
 
 def _places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -204,13 +231,30 @@ def _places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == values, at, -1)
 
 
+def _name_keys(h: np.ndarray, valid: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the windows that start at each word, and a block's names as it asks for them."""
+    names, chosen = window_names(h, valid, length, run)
+    runs = sequence_hashes(h, run)
+    return names, runs[chosen[chosen < len(runs)]]
+
+
+def _candidates(words: Words, told, bits: int, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' hashes, windows' hashes, and for each window whether its name occurs twice or more in all."""
+    h, valid = words.hashes(), _valid(words, length)
+    names, keys = _name_keys(h, valid, length, run)
+    keys = np.unique(keys)
+    windows = sequence_hashes(h, length)
+    n = len(windows)
+    return h, windows, valid[:n] & (_places(keys[_answers(keys, told, False, bits) >= 0], names[:n]) >= 0)
+
+
 def _names(bits: int, length: int, run: int):
-    def run_(table):
-        block, words, _ = _texts(table)
-        h = words.hashes()
-        _, chosen = window_names(h, _valid(words, length), length, run)
-        runs = sequence_hashes(h, run)
-        return _by_bucket(block, runs[chosen[chosen < len(runs)]], bits)
+    def run_(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, words = _words(batch, row)
+                _, keys = _name_keys(words.hashes(), _valid(words, length), length, run)
+                yield from _by_bucket(block, keys, bits).to_batches()
 
     return run_
 
@@ -221,11 +265,8 @@ def _windows(bits: int, length: int, run: int):
 
         if not docs.num_rows or not told.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "twice": pa.array([], pa.binary())})
-        block, words, _ = _texts(docs)
-        h, valid = words.hashes(), _valid(words, length)
-        names, _ = window_names(h, valid, length, run)
-        windows = sequence_hashes(h, length)
-        may = valid[: len(windows)] & (_places(_told(told)[0], names[: len(windows)]) >= 0)
+        block, words = _words(docs)
+        _, windows, may = _candidates(words, told, bits, length, run)
         return _by_bucket(block, windows[may], bits)
 
     return run_
@@ -234,7 +275,7 @@ def _windows(bits: int, length: int, run: int):
 SPANS = "shard long, block long, ord int, start int, words binary"
 
 
-def _spans(length: int):
+def _spans(bits: int, length: int, run: int):
     """Reference passages (ord null) of this block, and its runs of repeated windows by the shard they refer to."""
 
     def run_(docs, told):
@@ -242,13 +283,13 @@ def _spans(length: int):
 
         out: list[tuple] = []
         if docs.num_rows and told.num_rows:
-            block, words, table = _texts(docs)
-            h, valid = words.hashes(), _valid(words, length)
-            windows = sequence_hashes(h, length)
-            keys, first = _told(told)
-            at = np.where(valid[: len(windows)], _places(keys, windows), -1)
+            block, words = _words(docs)
+            h, windows, may = _candidates(words, told, bits, length, run)
+            keys = np.unique(windows[may])
+            first = _answers(keys, told, True, bits)
+            at = np.where(may, _places(keys[first >= 0], windows), -1)
             found = np.flatnonzero(at >= 0)
-            shard = first[at[found]]
+            shard = first[first >= 0][at[found]]
             owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
             raw = h.astype("<u8")
 
@@ -262,10 +303,9 @@ def _spans(length: int):
             own = found[shard == block]
             own = np.sort(own[np.unique(windows[own], return_index=True)[1]])  # the first of each here
             out += [(block, block, None, None, raw[a:b].tobytes()) for a, b, _ in runs(own, np.full(len(own), block))]
-            ords = table.column("ord").to_numpy()
             for a, b, to in runs(found, shard):
                 doc = int(owner[a])
-                out.append((to, block, int(ords[doc]), a - int(words.first[doc]), raw[a:b].tobytes()))
+                out.append((to, block, doc, a - int(words.first[doc]), raw[a:b].tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "block", "ord", "start", "words"])
 
@@ -297,12 +337,11 @@ def _kept(docs, spans):
     names = ["doc_id", "text", "n_words", "n_removed"]
     if not docs.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64())], names)
-    _, words, table = _texts(docs)
+    _, words = _words(docs)
     n = len(words.start)
-    place = {o: i for i, o in enumerate(table.column("ord").to_pylist())}
     edge = np.zeros(n + 1, np.int64)
     for o, a, b in zip(*(spans.column(c).to_pylist() for c in ("ord", "a", "b")), strict=True):
-        first = words.first[place[o]]
+        first = words.first[o]
         edge[first + a] += 1
         edge[first + b] -= 1
     gone = np.cumsum(edge[:-1]) > 0
@@ -318,7 +357,7 @@ def _kept(docs, spans):
     bounds = at[words.first]
     texts = [joined[a : max(a, b - 1)] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
     removed = np.concatenate(([0], np.cumsum(gone)))[words.first]
-    return pa.table([table.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.diff(words.first), pa.int64()), pa.array(np.diff(removed), pa.int64())], names)
+    return pa.table([pa.array(docs.column("doc_id")[0].as_py(), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.diff(words.first), pa.int64()), pa.array(np.diff(removed), pa.int64())], names)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
@@ -331,13 +370,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> Dat
     if run > length:
         raise ValueError("run must not exceed length")
     bits = int(np.clip(int(np.log2(max(input_bytes(docs) // BUCKET_BYTES, 1))) + 1, 4, 24))
-    store = materialise(pick(docs, "doc_id", "text").mapInArrow(_store, "block long, ord int, doc_id long, text string"), "blocks")
+    store = materialise(pick(docs, "doc_id", "text").mapInArrow(_store, STORE), "blocks")
     blocks = store.groupBy("block")
-    asked = blocks.applyInArrow(_names(bits, length, run), ASK)
-    told = materialise(asked.groupBy("bucket").applyInArrow(_repeated, TELL), "names")
-    asked = blocks.cogroup(told.groupBy("block")).applyInArrow(_windows(bits, length, run), ASK)
-    told = materialise(asked.groupBy("bucket").applyInArrow(_repeated, TELL), "windows")
-    spans = materialise(blocks.cogroup(told.groupBy("block")).applyInArrow(_spans(length), SPANS), "spans")
+    names = materialise(store.mapInArrow(_names(bits, length, run), ASK).groupBy("bucket").applyInArrow(_repeated(False), TELL), "names")
+    asked = blocks.cogroup(names.groupBy("block")).applyInArrow(_windows(bits, length, run), ASK)
+    told = names.unionByName(materialise(asked.groupBy("bucket").applyInArrow(_repeated(True), TELL), "windows"))
+    spans = materialise(blocks.cogroup(told.groupBy("block")).applyInArrow(_spans(bits, length, run), SPANS), "spans")
     runs = spans.filter("ord IS NOT NULL")
     load = runs.groupBy("shard").agg(F.sum(F.length("words") / 8).alias("n"))
     load = small_side(materialise(load.select("shard", F.ceil(F.col("n") / STREAM).cast("int").alias("tasks")), "shards"))
