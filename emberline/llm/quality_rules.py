@@ -6,7 +6,9 @@ concentration steps: keep the ``share`` of documents nearest by Mahalanobis
 distance, take their mean and covariance, and repeat. A document is rejected if
 its distance from its group's estimate is above a chi-square cut-off. The order
 statistic of a step comes from a histogram of distances, so a step is two grouped
-sums over one small row per document, and no group is gathered or sorted.
+sums over one small row per document, and no group is gathered or sorted. What a
+step finds, one row per group, is written and broadcast if its counted rows are few,
+so the documents' rows stay where they are.
 
 Only DataFrame functions are used. A group with fewer than ``least`` documents
 joins the other small groups of its language, and those the small languages; if
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .workspace import materialise, pick
+from .workspace import materialise, pick, small_side
 
 #: Fixed values of the task.
 SYMBOLS, WINDOW, LEAST_WORDS, REPEAT_PERCENT = "[#*$%&|<>]", 8, 20, 30
@@ -160,18 +162,20 @@ def _nearest(rows: DataFrame) -> DataFrame:
     whole = F.sum("k").over(W.partitionBy("g"))
     used = bins.withColumn("before", F.coalesce(run, F.lit(0))).withColumn("whole", whole)
     edge = used.filter(F.col("before") < SHARE * F.col("whole")).groupBy("g").agg(F.max("bin").alias("edge"))
+    edge = small_side(materialise(edge, "edges"))
     return rows.join(edge.withColumnRenamed("g", "eg"), F.col("g") == F.col("eg")).filter("bin <= edge").drop("eg", "edge", "bin")
 
 
 def _estimates(rows: DataFrame, d: int) -> DataFrame:
     """MCD moments of each group with at least FEWEST rows."""
     quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d)])
+    quartiles = small_side(materialise(quartiles, "quartiles"))
     start = rows.join(quartiles.withColumnRenamed("g", "qg"), F.col("g") == F.col("qg"))
     spread = [(F.col(f"x{i}") - F.col(f"q{i}")[1]) / F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(0.5)) for i in range(d)]
     d2 = sum((s * s for s in spread[1:]), spread[0] * spread[0])
     near = _nearest(start.select(*rows.columns, d2.alias("d2")))
     for step in range(STEPS):
-        moments = _moments(near, d)
+        moments = small_side(materialise(_moments(near, d), "moments"))
         if step < STEPS - 1:
             near = _nearest(_distance(rows, moments, d))
     return moments.filter(F.col("n") >= FEWEST * SHARE).drop("n")
@@ -192,13 +196,13 @@ def quality(docs: DataFrame, text: bool = True) -> DataFrame:
     d = len(SCALES)
     stats = materialise(counted.select("*", *vector()), "quality")
     good = stats.filter(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(d)])
-    groups = materialise(_groups(good), "groups")
+    groups = small_side(materialise(_groups(good), "groups"))
 
     def grouped(rows: DataFrame, how: str) -> DataFrame:
         same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
         return rows.join(groups, same, how).drop("g_lang", "g_source")
 
-    moments = materialise(_estimates(grouped(good, "inner").drop("lang", "source"), d), "moments")
+    moments = _estimates(grouped(good, "inner").drop("lang", "source"), d)
     out = _distance(grouped(stats, "left"), moments, d)
     limit = chi2_quantile(1 - CHANCE, d)
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
