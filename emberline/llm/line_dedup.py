@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BASE, BYTE_VALUE, U64, grouped, mix, power_table
+from .text import BASE, BYTE_VALUE, U64, give_back, grouped, mix, power_table
 from .workspace import input_bytes, materialise, pick, small_side
 
 MIN_CHARS = 20
@@ -144,6 +144,7 @@ def _variants(buckets: int):
                     used, some["line"] = np.unique(some["line"], return_inverse=True)
                     out.append((int(to[x]), some.tobytes(), table[used].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "entries", "lines"])
+        give_back()
 
     return run
 

@@ -6,6 +6,8 @@ multi-byte UTF-8 character is in that set, so words can be found in the bytes.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 U64 = np.uint64
@@ -114,6 +116,20 @@ def text_column(batch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+#: Groups of texts after which a task gives freed memory back.
+TRIM_EVERY = 16
+
+
+def give_back() -> None:
+    """Return memory that Arrow's pool and the C library hold but don't use; workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def grouped(batches, budget: int, columns: list[str]):
     """Lists of rows' columns from Arrow batches, with about ``budget`` bytes of text each.
 
@@ -121,16 +137,22 @@ def grouped(batches, budget: int, columns: list[str]):
     """
     texts: list[bytes] = []
     rest: dict[str, list] = {c: [] for c in columns}
-    size = 0
+    size = groups = 0
     for batch in batches:
         values = {c: batch.column(c).to_pylist() for c in columns}
         for i, t in enumerate(text_column(batch)):
             if texts and size + len(t) > budget:
                 yield texts, rest
                 texts, rest, size = [], {c: [] for c in columns}, 0
+                groups += 1
+                if groups % TRIM_EVERY == 0:
+                    give_back()
             texts.append(t)
             for c in columns:
                 rest[c].append(values[c][i])
             size += len(t)
     if texts:
         yield texts, rest
+    texts, rest = [], {}
+    batch = values = None
+    give_back()
