@@ -12,6 +12,8 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
+import string
 import sys
 import types
 import zlib
@@ -28,6 +30,8 @@ GRAIN = 64
 BUDGET = 2 << 20
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 500_000
+#: Words of letters that are encoded as one text.
+JOINED = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Byte classes: 1 for ASCII letters and digits, 2 for ASCII punctuation.
 _KIND = np.zeros(256, np.uint8)
@@ -47,15 +51,26 @@ class Tokens:
     A text is looked up in parts: it is cut at ASCII white space and between an
     ASCII letter or digit and the punctuation after it, where the tokenizer's own
     pattern always cuts; parts met before aren't encoded again. A text that holds
-    a special token's string is encoded whole.
+    a special token's string is encoded whole. Where the tokenizer lowers letters,
+    parts are looked up with A-Z lowered. Where its last token of a word is marked,
+    new words of letters are encoded joined by spaces and told apart by that mark.
     """
 
+    WORD_END = "</w>"
+
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id = end_id
+        normal, upper = self.tokenizer.normalizer, string.ascii_uppercase
+        self.lowers = normal is not None and normal.normalize_str(upper) == upper.lower()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
+        self.marked = sum(len(t) == len(self.WORD_END) + 1 for t in vocabulary if t.endswith(self.WORD_END)) >= 256
         self.clear()
 
     def clear(self) -> None:
@@ -63,15 +78,42 @@ class Tokens:
         self.ids = np.full(1 << 16, self.end_id, np.uint32)  # the first is the end
         self.used = 1
 
+    def lowered(self, data: np.ndarray) -> np.ndarray:
+        """Bytes with A-Z lowered, but for those before a non-ASCII byte, which may be an accent to compose with."""
+        if not self.lowers:
+            return data
+        upper = np.flatnonzero((data[:-1] >= 65) & (data[:-1] <= 90) & (data[1:] < 128))
+        data = data.copy()
+        data[upper] += 32
+        return data
+
     def learn(self, keys: list[int], parts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        need = self.used + sum(map(len, encoded))
+        letters = [self.marked and p.isalpha() for p in parts]
+        words = [i for i, yes in enumerate(letters) if yes]
+        single = [i for i, yes in enumerate(letters) if not yes]
+        groups = [words[a : a + JOINED] for a in range(0, len(words), JOINED)]
+        joined = self.tokenizer.encode_batch([" ".join([parts[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, joined, strict=True):
+            ids = np.array(encoded.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):  # every word is one word to the tokenizer too
+                self.store([keys[i] for i in group], ids, ends)
+            else:
+                single += group
+        alone = [e.ids for e in self.tokenizer.encode_batch([parts[i] for i in single], add_special_tokens=False)]
+        if alone:
+            self.store([keys[i] for i in single], np.array([x for ids in alone for x in ids], np.uint32), np.cumsum(list(map(len, alone))))
+
+    def store(self, keys: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids of several parts, which end at ``ends``."""
+        need = self.used + len(ids)
         if need > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.used], np.zeros(need, np.uint32)))
-        for key, ids in zip(keys, encoded, strict=True):
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.place[key] = self.used << 24 | len(ids)
-            self.used += len(ids)
+        self.ids[self.used : need] = ids
+        lengths = ends.copy()
+        lengths[1:] -= ends[:-1]
+        self.place.update(zip(keys, ((self.used + ends - lengths) << 24 | lengths).tolist(), strict=True))
+        self.used = need
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end after each text, and where each text's ids begin (one more than texts)."""
@@ -79,17 +121,18 @@ class Tokens:
             self.clear()
         odd = {i: t for i, t in enumerate(texts) if b"<|" in t and any(s in t for s in self.special)}
         words = Words([b"" if i in odd else t for i, t in enumerate(texts)])
-        kind = _KIND[words.data]
+        data = self.lowered(words.data)
+        kind = _KIND[data]
         cuts = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
         start = np.sort(np.concatenate((words.start, cuts)))
         end = np.sort(np.concatenate((words.end, cuts)))
-        first = np.searchsorted(start, np.append(words.text_start, len(words.data)))
-        unique, at, back = np.unique(span_hashes(words.data, start, end), return_index=True, return_inverse=True)
+        first = np.searchsorted(start, np.append(words.text_start, len(data)))
+        unique, at, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         keys = unique.tolist()
         unknown = [i for i, k in enumerate(keys) if k not in self.place]
         for a in range(0, len(unknown), 20_000):
             some = unknown[a : a + 20_000]
-            self.learn([keys[i] for i in some], [words.data[start[at[i]] : end[at[i]]].tobytes().decode("utf-8", "replace") for i in some])
+            self.learn([keys[i] for i in some], [data[start[at[i]] : end[at[i]]].tobytes().decode("utf-8", "replace") for i in some])
         place = np.fromiter((self.place[k] for k in keys), np.int64, len(keys))
         place = np.insert(place[back], first[1:], 1)  # position 0, one id: the end
         offset, length = place >> 24, place & 0xFFFFFF

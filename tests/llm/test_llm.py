@@ -1,6 +1,7 @@
 """Small fixtures against brute force: nulls, empty and repeated rows, ties, extra columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -104,6 +105,21 @@ def test_bk_tree_links():
         tree.add(v)
 
 
+def test_packing_ids():
+    """Looked-up parts have the ids of whole texts, whatever accents, cases, marks and signs meet."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.word_bpe_path())
+    tokens, rng = packing.Tokens(packing.word_bpe_path(), packing.END_ID), random.Random(3)
+    signs = [*"aZhHTJWkKIé\u00c9ßçõ'.,-<|>=%5²½\u0331\u0308\u030a\u030c\u0307\u0338\u0345 \t\n\u00a0\u3000\u0958漢Σςİ…", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "\ufffd", "🙂"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(20_000)] + ["", "H\u0331", "Theswhnd CHIE chie"]
+    for a in range(0, len(texts), 5000):
+        some = texts[a : a + 5000]
+        ids, bounds = tokens.encode([t.encode() for t in some])
+        want = [[*e.ids, packing.END_ID] for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)] == want
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
