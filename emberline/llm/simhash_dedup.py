@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import U64, Words, grouped
-from .workspace import discard, materialise, pick
+from .workspace import discard, materialise, pick, small_side
 
 #: Fixed values of the task: words in a shingle, seed of its hash, bits of a link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -175,7 +175,36 @@ def components(links: DataFrame) -> DataFrame:
         discard(now)
         now = new
         if same:
-            return now.toDF("node", "root")
+            named = now.toDF("node", "root")
+            named._emberline_path = now._emberline_path
+            return named
+
+
+def row_key(doc_id, text) -> list:
+    """z, d, t of a row: whether its id is null, its id, a hash of its text."""
+    return [doc_id.isNull().cast("int").alias("z"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t")]
+
+
+def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``members``, with all columns.
+
+    ``members`` has z, d, t (see ``row_key``) and root of every row. The least
+    (z, d, t) of a root stays; rows that share it are copies, and any one stays.
+    """
+    n = materialise(members.groupBy("z", "d", "t").agg(F.any_value("root").alias("root"), F.count("*").alias("n")), "members")
+    least = n.groupBy("root").agg(F.min(F.struct("z", "d", "t")).alias("least"), F.count("*").alias("k")).filter("k > 1")
+    least = materialise(least, "least-rows")
+    marked = n.join(small_side(least), "root", "left").select("z", "d", "t", "n", (F.col("k").isNotNull() & (F.struct("z", "d", "t") != F.col("least"))).alias("gone"))
+    marked = small_side(materialise(marked.filter("gone OR n > 1"), "marked-rows"))
+    discard(n)
+    discard(least)
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(whole.alias("row"), *row_key(docs["doc_id"], docs["text"]))
+    out = rows.join(marked, ["z", "d", "t"], "left_anti").select("row")
+    copies = marked.filter("NOT gone")
+    if not copies.isEmpty():
+        out = out.unionAll(rows.join(copies, ["z", "d", "t"]).groupBy("z", "d", "t").agg(F.any_value("row").alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:

@@ -257,3 +257,50 @@ def test_pipeline(docs, spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_dedup_recall(spark):
+    """Groups equal components of all pairs of five-word Jaccard similarity 0.8 and more."""
+    rng = random.Random(5)
+    base = [[f"v{rng.randrange(3000)}" for _ in range(rng.choice((30, 200, 600)))] for _ in range(60)]
+    rows = []
+    for k, words in enumerate(base):
+        for _ in range(4):
+            some = [w if rng.random() > (0.0, 0.01, 0.02, 0.03)[k % 4] else "zz" + w for w in words]
+            rows.append(" ".join(some))
+    rows += [None, " ", "a b", "A b", "a c"]
+
+    def shingles(t):
+        w = WORD.findall(lower(t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [shingles(t) for t in rows], list(range(len(rows)))
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, extra string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near(spark, frame, "").collect())
+    assert got == sorted({root(i) for i in range(len(rows))})
+
+
+def test_near_dedup_large_group(spark):
+    """Copies that are near their original, and far from each other, are one group with it."""
+    rng = random.Random(8)
+    words = [f"v{rng.randrange(5000)}" for _ in range(500)]
+    rows = [(0, " ".join(words))] + [(k, " ".join(w if rng.random() > 0.018 else "zz" + str(k) + w for w in words)) for k in range(1, 200)]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for _, t in rows]
+    alone = [k for k in range(1, 200) if all(5 * len(sets[k] & s) < 4 * len(sets[k] | s) for j, s in enumerate(sets) if j != k)]
+    assert sorted(r.doc_id for r in got) == [0, *alone]
