@@ -63,9 +63,10 @@ def _fingerprints(shingle: int, seed: int):
     def run(batches):
         import pyarrow as pa
 
-        for texts, rest in grouped(batches, BUDGET, ["doc_id"]):
+        for texts, rest in grouped(batches, BUDGET, ["doc_id", "z", "d", "t"]):
             found = fingerprints(texts, shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), pa.array(found)], ["doc_id", "print"])
+            ids = [pa.array(rest[c], ty) for c, ty in (("doc_id", pa.int64()), ("z", pa.int32()), ("d", pa.int64()), ("t", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(found)], ["doc_id", "z", "d", "t", "print"])
 
     return run
 
@@ -207,16 +208,10 @@ def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
     return out.select("row.*")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``.
-
-    component_id is the least doc_id that links reach. Null, empty and blank texts
-    have fingerprint zero and are linked like any other. A null doc_id is never a
-    component_id unless its component has no other. Rows that repeat a doc_id each
-    give a row. Other columns are ignored; an empty table gives no rows.
-    """
-    docs = pick(docs, "doc_id", "text")
-    prints = materialise(docs.mapInArrow(_fingerprints(shingle, seed), "doc_id long, print long"), "prints")
+def _rooted(docs: DataFrame, shingle: int, seed: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, z, d, t, print) of every row, and (print, low, n, root) of every fingerprint."""
+    rows = pick(docs, "doc_id", "text").select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
+    prints = materialise(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, z int, d long, t long, print long"), "prints")
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     distinct = materialise(distinct, "distinct")
     parts = radius + 2
@@ -229,6 +224,18 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radiu
     dealt = dealt.repartition("part", "value").sortWithinPartitions("part", "value")
     roots = components(dealt.mapInArrow(_shards(radius), "u long, v long"))
     named = distinct.join(roots, distinct["print"] == roots["node"], "left").withColumn("root", F.coalesce("root", "print"))
+    return prints, named.select("print", "low", "n", "root")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``.
+
+    component_id is the least doc_id that links reach. Null, empty and blank texts
+    have fingerprint zero and are linked like any other. A null doc_id is never a
+    component_id unless its component has no other. Rows that repeat a doc_id each
+    give a row. Other columns are ignored; an empty table gives no rows.
+    """
+    prints, named = _rooted(docs, shingle, seed, radius)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("size")).filter("size > 1")
     lows = named.select("print", "root").join(lows, "root").select("print", "component_id")
     out = prints.join(lows, "print", "left")
@@ -236,19 +243,6 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radiu
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """One row of each near-duplicate group of ``docs``, with all columns: a row with the least doc_id.
-
-    Rows that repeat that doc_id are one document: one of them stays, the first by
-    a hash of its text. Null ids form a document together with their group.
-    """
-    groups = near_groups(docs, shingle, seed, radius).select("component_id").distinct().withColumnRenamed("component_id", "c_id")
-    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    rows = docs.select(whole.alias("row"), docs["doc_id"].alias("d_id"))
-    rows = rows.join(groups, F.col("d_id").eqNullSafe(F.col("c_id")), "left_semi")
-    # only ids that occur more than once are ranked
-    n = rows.groupBy("d_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("row.text")).alias("h")).filter("n > 1").withColumnRenamed("d_id", "n_id")
-    rows = rows.join(n, F.col("d_id").eqNullSafe(F.col("n_id")), "left")
-    single = rows.filter("n IS NULL").select("row")
-    several = rows.filter("n IS NOT NULL").filter(F.xxhash64("row.text") == F.col("h"))
-    several = several.groupBy("d_id").agg(F.any_value("row").alias("row")).select("row")
-    return single.unionAll(several).select("row.*")
+    """One row of each near-duplicate group of ``docs``, with all columns: the first by (doc_id, hash of the text), null ids last."""
+    prints, named = _rooted(docs, shingle, seed, radius)
+    return first_rows(docs, prints.join(named.select("print", "root"), "print").select("z", "d", "t", "root"))

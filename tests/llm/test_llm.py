@@ -290,6 +290,16 @@ def test_near_dedup_recall(spark):
     assert got == sorted({root(i) for i in range(len(rows))})
 
 
+@pytest.mark.parametrize("keep", [simhash_dedup.representatives, lambda docs: corpus_pipeline.near(None, docs, "")])
+def test_near_dedup_odd_ids(spark, keep):
+    """Rows with null or repeated ids stay unless their own group has another row."""
+    a, b, c, d = (passage(k, 80) for k in (61, 62, 63, 64))
+    rows = [(5, a), (5, b), (9, b.upper()), (None, c), (None, d), (None, d), (7, c.upper())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in keep(frame).collect())
+    assert got == sorted([(5, a), (5, b), (7, c.upper()), (0, d)])
+
+
 def test_near_dedup_large_group(spark):
     """Copies that are near their original, and far from each other, are one group with it."""
     rng = random.Random(8)
