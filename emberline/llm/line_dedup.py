@@ -1,8 +1,8 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-Lines of at least ``MIN_CHARS`` code points that are within one edit of a line
-that starts earlier in the corpus are removed; lines are judged on the input. The
-order is (doc_id, line number).
+Lines equal to a line that starts earlier in the corpus are removed, unless blank,
+and so are lines within one edit of such a line if both have at least ``MIN_CHARS``
+code points; lines are judged on the input. The order is (doc_id, line number).
 
 All variants of a line with one code point deleted are emitted as hashed keys.
 Lines that share a variant made at the same place differ by a substitution; a line
@@ -88,8 +88,9 @@ def _lines(least: int):
             out: list[tuple] = []
             for text, d, t in zip(texts, rest["d"], rest["t"], strict=True):
                 for k, line in enumerate(text.split(b"\n")):
-                    if len(line) >= least and len(line.decode("utf-8", "replace")) >= least:
-                        out.append((d, t, k, digest64(b"l" + line), half_keys(line)))
+                    if line.strip():
+                        long = len(line) >= least and len(line.decode("utf-8", "replace")) >= least
+                        out.append((d, t, k, digest64(b"l" + line), half_keys(line) if long else []))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["d", "t", "line_no", "h", "keys"])
 
     return run
@@ -239,9 +240,9 @@ def removed_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """``docs`` as struct ``row`` with its text's remaining lines: row, text, n_lines, n_removed.
 
-    A line goes if an earlier line of the corpus is equal to it or within one edit
-    of it, unless it has fewer than ``least`` code points. Lines end at a line
-    feed. Null text counts as empty and gives an empty text of one line. Rows that
+    A line goes if it isn't blank and an earlier line of the corpus is equal to it,
+    or within one edit of it where both have at least ``least`` code points. Lines
+    end at a line feed. Null text counts as empty and gives an empty text of one line. Rows that
     repeat a doc_id and its text are one document and keep the same lines; rows
     that share only a doc_id are told apart by a hash of the text. A null doc_id
     comes before all others. Extra columns live inside ``row``.

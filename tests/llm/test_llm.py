@@ -314,3 +314,11 @@ def test_near_dedup_large_group(spark):
     sets = [shingles(t) for _, t in rows]
     alone = [k for k in range(1, 200) if all(5 * len(sets[k] & s) < 4 * len(sets[k] | s) for j, s in enumerate(sets) if j != k)]
     assert sorted(r.doc_id for r in got) == [0, *alone]
+
+
+def test_short_lines(spark):
+    """Equal lines go at any length, blank ones stay, and short ones need to be equal."""
+    texts = ["Menu\n\nRead more\n  ", "Read more\n\nread more\nMenu\n  ", "Menu\nMenus\n" + "x" * 19, "x" * 19 + "\n" + "x" * 18 + "\n" + "x" * 20]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.kept(frame).collect()}
+    assert got == {0: texts[0], 1: "\nread more\n  ", 2: "Menus\n" + "x" * 19, 3: "x" * 18 + "\n" + "x" * 20}
