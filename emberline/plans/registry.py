@@ -285,6 +285,32 @@ def spatial_nearest_orphan(spark, d):
     return spatial.nearest(lost, edges, "pid")
 
 
+def _spread(spark, d):
+    """Boxes of all suppliers and points of all customers, on a grid whose area grows with the suppliers."""
+    n = table(spark, d, "supplier").agg(F.ceil(F.sqrt(F.lit(22.5) * F.count("*"))).cast("long").alias("side"))
+    b = table(spark, d, "supplier").crossJoin(F.broadcast(n)).withColumn("at", F.expr("s_suppkey * 7919 % (side * side)"))
+    s = F.col("s_suppkey").cast("int")
+    boxes = b.select(s.alias("id"), (F.col("at") % F.col("side")).cast("int").alias("x0"), F.expr("CAST(at div side AS INT)").alias("y0"), (2 + s % 9).alias("w"), (2 + s % 5).alias("h"))
+    p = table(spark, d, "customer").crossJoin(F.broadcast(n.select((F.col("side") + 10).alias("side")))).withColumn("at", F.expr("c_custkey * 7919 % (side * side)"))
+    return boxes, p.select(F.col("c_custkey").alias("pid"), F.expr("CAST(at div side AS INT)").alias("row"), (F.col("at") % F.col("side")).cast("int").alias("col"))
+
+
+def spatial_within_all_boxes(spark, d):
+    boxes, points = _spread(spark, d)
+    return spatial.within(points, spatial.scanline_runs(_box_edges(boxes))).select("pid", "id")
+
+
+def rasterize_all_boxes_latest(spark, d):
+    return spatial.rasterize(spatial.scanline_runs(_box_edges(_spread(spark, d)[0])), "id")
+
+
+def spatial_nearest_all_boxes(spark, d):
+    boxes, points = _spread(spark, d)
+    edges = _box_edges(boxes)
+    lost = layers.orphans(points, spatial.within(points, spatial.scanline_runs(edges)), "pid")
+    return spatial.nearest(lost, edges, "pid")
+
+
 def rollup_regions_union(spark, d):
     n = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     each = n.groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("n"))
@@ -303,6 +329,10 @@ def truncated_days_vs_events(spark, d):
 BOXES = """b AS (SELECT CAST(s_suppkey AS INT) AS id, CAST(s_suppkey * 7 % 30 AS INT) AS x0, CAST(s_suppkey * 11 % 30 AS INT) AS y0, CAST(2 + s_suppkey % 9 AS INT) AS w, CAST(2 + s_suppkey % 5 AS INT) AS h FROM supplier WHERE s_suppkey <= 40),
 p AS (SELECT c_custkey AS pid, CAST((c_custkey // 40) % 40 AS INT) AS "row", CAST(c_custkey % 40 AS INT) AS col FROM customer),
 cells AS (SELECT id, CAST(y0 + i AS INT) AS "row", CAST(x0 + j AS INT) AS col FROM b, range(0, 20) r(i), range(0, 20) c(j) WHERE i < h AND j < w)"""
+ALL_BOXES = """k AS (SELECT CAST(ceil(sqrt(22.5 * count(*))) AS BIGINT) AS side FROM supplier),
+b AS (SELECT CAST(s_suppkey AS INT) AS id, CAST(s_suppkey * 7919 % (side * side) % side AS INT) AS x0, CAST(s_suppkey * 7919 % (side * side) // side AS INT) AS y0, CAST(2 + s_suppkey % 9 AS INT) AS w, CAST(2 + s_suppkey % 5 AS INT) AS h FROM supplier, k),
+p AS (SELECT c_custkey AS pid, CAST(c_custkey * 7919 % ((side + 10) * (side + 10)) // (side + 10) AS INT) AS "row", CAST(c_custkey * 7919 % ((side + 10) * (side + 10)) % (side + 10) AS INT) AS col FROM customer, k),
+cells AS (SELECT id, CAST(y0 + i AS INT) AS "row", CAST(x0 + j AS INT) AS col FROM b, range(0, 20) r(i), range(0, 20) c(j) WHERE i < h AND j < w)"""
 YEARLY = "y AS (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS yr, max(o_totalprice) AS value FROM orders GROUP BY ALL)"
 CELLS = f"c AS (SELECT c_custkey, (c_custkey * 7919123) % {grid.ROWS * grid.COLS} AS cell FROM customer), g AS (SELECT *, cell // {grid.COLS} AS i, cell % {grid.COLS} AS j, CAST({grid.LEFT} + 15 + 30 * (cell % {grid.COLS}) AS DOUBLE) AS x, CAST({grid.TOP} - 15 - 30 * (cell // {grid.COLS}) AS DOUBLE) AS y FROM c)"
 _E2 = grid._E2
@@ -348,6 +378,11 @@ SQL = {
     "rasterize_boxes_latest": f'WITH {BOXES} SELECT "row", col, max(id) AS id FROM cells GROUP BY 1, 2',
     "spatial_nearest_orphan": f"""WITH {BOXES}, o AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM cells WHERE id <= 5 AND cells."row" = p."row" AND cells.col = p.col)),
 d AS (SELECT pid, id, greatest(x0 - col - 0.5, col + 0.5 - x0 - w, 0) ** 2 + greatest(y0 - "row" - 0.5, "row" + 0.5 - y0 - h, 0) ** 2 AS d2 FROM o, b WHERE id <= 5)
+SELECT pid, id FROM (SELECT *, rank() OVER (PARTITION BY pid ORDER BY d2) AS k FROM d) WHERE k = 1""",
+    "spatial_within_all_boxes": f'WITH {ALL_BOXES} SELECT pid, id FROM p JOIN cells ON cells."row" = p."row" AND cells.col = p.col',
+    "rasterize_all_boxes_latest": f'WITH {ALL_BOXES} SELECT "row", col, max(id) AS id FROM cells GROUP BY 1, 2',
+    "spatial_nearest_all_boxes": f"""WITH {ALL_BOXES}, o AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM cells WHERE cells."row" = p."row" AND cells.col = p.col)),
+d AS (SELECT pid, id, greatest(x0 - col - 0.5, col + 0.5 - x0 - w, 0) ** 2 + greatest(y0 - "row" - 0.5, "row" + 0.5 - y0 - h, 0) ** 2 AS d2 FROM o, b)
 SELECT pid, id FROM (SELECT *, rank() OVER (PARTITION BY pid ORDER BY d2) AS k FROM d) WHERE k = 1""",
     "rollup_regions_union": "WITH n AS (SELECT n_name, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT n_name AS name, count(*) AS n FROM n GROUP BY 1 UNION ALL SELECT 'WEST', count(*) FROM n WHERE n_regionkey IN (1, 2) UNION ALL SELECT 'ALL', count(*) FROM n",
     "truncated_days_vs_events": "WITH g AS (SELECT event_type, date_sub('day', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS days FROM events WHERE event_type IN ('error', 'purchase') AND value > 60) SELECT count(*) AS n, CAST(sum(days) AS BIGINT) AS total_days FROM g WHERE event_type = 'error' AND days IS NOT NULL",
