@@ -318,14 +318,23 @@ def rollup_regions_union(spark, d):
     return each.unionByName(west).unionByName(n.agg(F.lit("ALL").alias("name"), F.count("*").alias("n")))
 
 
-def truncated_days_vs_events(spark, d):
-    e = table(spark, d, "events").filter("event_type IN ('error', 'purchase') AND value > 60").withColumn("perim_index", F.col("event_id"))
+def _truncated_days(events):
+    e = events.withColumn("perim_index", F.col("event_id"))
     names = Names(key="user_id", date="ts", event="event_id")
     h = recurrence.event_histories(e, varied=["event_type"], names=names)
     gaps = recurrence.history_gaps(h, {"event_type": ["error"]}, names, least=-1.0)
     return gaps.agg(F.sum("Pixel_Count").alias("n"), F.sum(F.round(F.col("dt") * 365).cast("long") * F.col("Pixel_Count")).alias("total_days"))
 
 
+def truncated_days_vs_events(spark, d):
+    return _truncated_days(table(spark, d, "events").filter("event_type IN ('error', 'purchase') AND value > 60"))
+
+
+def truncated_days_vs_all_values(spark, d):
+    """The same over every event of the two types."""
+    return _truncated_days(table(spark, d, "events").filter("event_type IN ('error', 'purchase')"))
+
+
 BOXES = """b AS (SELECT CAST(s_suppkey AS INT) AS id, CAST(s_suppkey * 7 % 30 AS INT) AS x0, CAST(s_suppkey * 11 % 30 AS INT) AS y0, CAST(2 + s_suppkey % 9 AS INT) AS w, CAST(2 + s_suppkey % 5 AS INT) AS h FROM supplier WHERE s_suppkey <= 40),
 p AS (SELECT c_custkey AS pid, CAST((c_custkey // 40) % 40 AS INT) AS "row", CAST(c_custkey % 40 AS INT) AS col FROM customer),
 cells AS (SELECT id, CAST(y0 + i AS INT) AS "row", CAST(x0 + j AS INT) AS col FROM b, range(0, 20) r(i), range(0, 20) c(j) WHERE i < h AND j < w)"""
@@ -386,6 +395,7 @@ d AS (SELECT pid, id, greatest(x0 - col - 0.5, col + 0.5 - x0 - w, 0) ** 2 + gre
 SELECT pid, id FROM (SELECT *, rank() OVER (PARTITION BY pid ORDER BY d2) AS k FROM d) WHERE k = 1""",
     "rollup_regions_union": "WITH n AS (SELECT n_name, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT n_name AS name, count(*) AS n FROM n GROUP BY 1 UNION ALL SELECT 'WEST', count(*) FROM n WHERE n_regionkey IN (1, 2) UNION ALL SELECT 'ALL', count(*) FROM n",
     "truncated_days_vs_events": "WITH g AS (SELECT event_type, date_sub('day', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS days FROM events WHERE event_type IN ('error', 'purchase') AND value > 60) SELECT count(*) AS n, CAST(sum(days) AS BIGINT) AS total_days FROM g WHERE event_type = 'error' AND days IS NOT NULL",
+    "truncated_days_vs_all_values": "WITH g AS (SELECT event_type, date_sub('day', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS days FROM events WHERE event_type IN ('error', 'purchase')) SELECT count(*) AS n, CAST(sum(days) AS BIGINT) AS total_days FROM g WHERE event_type = 'error' AND days IS NOT NULL",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

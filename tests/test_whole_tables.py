@@ -24,3 +24,10 @@ def test_every_supplier(spark, duck, name):
     got = CORE[name](spark, SF).toPandas()
     assert rows(got) == rows(duck.execute(__spark_entry__.oracle_sql()[name]).df())
     assert got.id.max() > 40
+
+
+def test_every_value(spark, duck):
+    name = "truncated_days_vs_all_values"
+    got = CORE[name](spark, SF).toPandas()
+    assert rows(got) == rows(duck.execute(__spark_entry__.oracle_sql()[name]).df())
+    assert got.n[0] > CORE["truncated_days_vs_events"](spark, SF).first().n
