@@ -1,13 +1,14 @@
 """Harmonic packing of tokenised documents into sequences of fixed capacity.
 
-Documents are cut, as the task allows, into pieces of whole capacity, then of
-capacity / 2, / 4 ... down to ``grain``, and a tail under the grain. A piece of
-length r belongs to the reciprocal class k = capacity // r, whose bins hold k
-pieces each; the halves fill theirs without a gap, and tails leave less than a
-tail's length. Every worker fills its classes' bins alone, so nothing is shuffled
-and no state outgrows one open bin per class. At a task's end the pieces of open
-bins are strung together and cut into sequences of the capacity and then of
-powers of two, which need no padding.
+What exceeds the capacity is cut off a document in whole sequences. The rest, of
+length r, belongs to the reciprocal class k = capacity // r, whose bins hold k
+documents each. Such a bin leaves room for less than any document of its class, so
+the next document of the class is cut once to fill it, and what remains of that one
+goes to the class of its new length. Every worker fills its classes' bins alone:
+nothing is shuffled, and no state outgrows one open bin for each class, of which
+there are about twice the capacity's square root. At a task's end the open bins are
+filled up from each other, those of long documents first; the last ids are cut into
+sequences of powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ from .workspace import pick
 
 #: Fixed values of the task: ids in a sequence, and the id after each document.
 CAPACITY, END_ID = 4096, 2
-GRAIN = 64
 BUDGET = 2 << 20
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Pieces of text that a worker remembers, and ids of theirs, after which it begins anew.
+REMEMBERED, REMEMBERED_IDS = 500_000, 16 << 20
 #: Words of letters that are encoded as one text.
 JOINED = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -112,12 +112,13 @@ class Tokens:
         self.ids[self.used : need] = ids
         lengths = ends.copy()
         lengths[1:] -= ends[:-1]
-        self.place.update(zip(keys, ((self.used + ends - lengths) << 24 | lengths).tolist(), strict=True))
+        # 31 bits for the offset, 32 for the length
+        self.place.update(zip(keys, ((self.used + ends - lengths) << 32 | lengths).tolist(), strict=True))
         self.used = need
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end after each text, and where each text's ids begin (one more than texts)."""
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > REMEMBERED or self.used > REMEMBERED_IDS:
             self.clear()
         odd = {i: t for i, t in enumerate(texts) if b"<|" in t and any(s in t for s in self.special)}
         words = Words([b"" if i in odd else t for i, t in enumerate(texts)])
@@ -135,7 +136,7 @@ class Tokens:
             self.learn([keys[i] for i in some], [data[start[at[i]] : end[at[i]]].tobytes().decode("utf-8", "replace") for i in some])
         place = np.fromiter((self.place[k] for k in keys), np.int64, len(keys))
         place = np.insert(place[back], first[1:], 1)  # position 0, one id: the end
-        offset, length = place >> 24, place & 0xFFFFFF
+        offset, length = place >> 32, place & 0xFFFFFFFF
         total = np.concatenate(([0], np.cumsum(length)))
         ids = self.ids[np.repeat(offset - total[:-1], length) + np.arange(total[-1])]
         bounds = total[np.concatenate(([0], first[1:] + np.arange(1, len(texts) + 1)))]
@@ -158,8 +159,8 @@ def tokens(path: str, end_id: int) -> Tokens:
 class Packer:
     """Bins of one task. A piece is (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, capacity: int, grain: int, number: int):
-        self.capacity, self.grain, self.next = capacity, min(grain, capacity), number << 36
+    def __init__(self, capacity: int, number: int):
+        self.capacity, self.next = capacity, number << 36
         self.open: dict[int, list] = {}
         self.rows: list[tuple] = []
 
@@ -171,50 +172,56 @@ class Packer:
         self.next += 1
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        whole, at, size = len(ids), 0, self.capacity
+        whole, at = len(ids), 0
+        while whole - at >= self.capacity:
+            self.close([(doc, at, ids[at : at + self.capacity], whole)])
+            at += self.capacity
         while at < whole:
-            left = whole - at
-            while size > left and size // 2 >= self.grain and size % 2 == 0:
-                size //= 2
-            cut = min(size, left)
-            piece = (doc, at, ids[at : at + cut], whole)
-            k = self.capacity // cut
-            bin_ = self.open.setdefault(k, [])
-            bin_.append(piece if k == 1 else (doc, at, ids[at : at + cut].copy(), whole))
-            if len(bin_) == k:
+            k = self.capacity // (whole - at)
+            held = self.open.setdefault(k, [])
+            if len(held) < k:
+                held.append((doc, at, ids[at:].copy(), whole))
+                at = whole
+            room = self.capacity - sum(len(p[2]) for p in held) if len(held) == k else -1
+            if room > 0 and at < whole:
+                held.append((doc, at, ids[at : at + room], whole))
+                at, room = at + room, 0
+            if room == 0:
                 self.close(self.open.pop(k))
-            at += cut
 
     def finish(self) -> None:
-        rest = [p for k in sorted(self.open) for p in self.open[k]]
+        """Fill open bins from each other, those of the longest documents first."""
+        rest = [p for k in sorted(self.open) for p in self.open[k]][::-1]
         self.open = {}
         left = sum(len(p[2]) for p in rest)
         while left:
             room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            left, bin_ = left - room, []
+            left, held = left - room, []
             while room:
-                doc, start, ids, whole = rest.pop(0)
-                bin_.append((doc, start, ids[:room], whole))
+                doc, start, ids, whole = rest.pop()
+                held.append((doc, start, ids[:room], whole))
                 if len(ids) > room:
-                    rest.insert(0, (doc, start + room, ids[room:], whole))
-                room -= len(bin_[-1][2])
-            self.close(bin_)
+                    rest.append((doc, start + room, ids[room:], whole))
+                room -= len(held[-1][2])
+            self.close(held)
 
 
-def _pack(path: str, capacity: int, grain: int, end_id: int, with_ids: bool):
+def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
-        packer = Packer(capacity, grain, TaskContext.get().partitionId())
+        packer = Packer(capacity, TaskContext.get().partitionId())
 
         def batch():
             rows, packer.rows = packer.rows, []
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(7)]
             names = schema.names
             if with_ids:
-                columns.append(pa.array([r[7].astype(np.int32) for r in rows], pa.list_(pa.int32())))
+                bounds = np.cumsum([0, *[r[2] for r in rows]], dtype=np.int32)
+                ids = np.concatenate([np.empty(0, "<u4"), *[r[7] for r in rows]]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids)))
                 names = [*names, "ids"]
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -231,7 +238,7 @@ def _pack(path: str, capacity: int, grain: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
     ``path`` names the tokenizer's file. A null or empty text is the end id alone.
@@ -240,4 +247,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gra
     """
     path = path or word_bpe_path()
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return pick(docs, "doc_id", "text").mapInArrow(_pack(path, capacity, grain, end_id, with_ids), schema)
+    return pick(docs, "doc_id", "text").mapInArrow(_pack(path, capacity, end_id, with_ids), schema)
