@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .workspace import materialise, pick
+from .workspace import materialise, pick, salted_join
 
 #: Fixed values of the task: weights in the sources' order, share of all sizes, epochs.
 WEIGHTS, SHARE, EPOCHS = (5.0, 2.0, 1.0), 1.5, 2
@@ -59,62 +59,83 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     return at.select("source", "source_size", F.coalesce(F.least("most", level), F.col("most")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per row of ``docs``.
+def _rank(name: Column, seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(name, F.lit("null"))).cast("binary"))
 
-    ``taken`` counts words with repetitions: at most ``epochs`` times the size. A
-    null or empty text has size 0 and takes 0. A null source is a source like any
-    other. Rows that repeat a doc_id are ranked by their size and text and each
-    keeps its own row. No rows in, no rows out. Extra columns are ignored.
+
+def _plan(sized: DataFrame, weights, share: float, epochs: int) -> DataFrame:
+    """What every range of a source takes, written: a row for each source and range, at most 4096 a source.
+
+    ``sized`` has source, rank and size. ``part`` words of a source come from one more
+    repetition; ``before`` of them lie in earlier ranges.
     """
-    docs = pick(docs, "doc_id", "text", "source")
-    name = F.to_json("doc_id") if docs.schema["doc_id"].dataType.typeName() == "struct" else F.col("doc_id").cast("string")
-    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(name, F.lit("null"))).cast("binary"))
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), rank.alias("rank")), "sizes")
-    sized = sized.withColumn("range", F.substring("rank", 1, RANGE_DIGITS))
-    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranges = sized.groupBy("source", F.substring("rank", 1, RANGE_DIGITS).alias("range")).agg(F.sum("size").alias("range_size"))
+    ranges = materialise(ranges, "ranges")
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     goal = targets(sizes, weights, share, epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     goal = goal.withColumn("part", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     r = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(r), F.lit(0)))
-    ranges, goal = ranges.withColumnRenamed("source", "s"), goal.withColumnRenamed("source", "s2")
-    plan = ranges.join(goal, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    plan = plan.withColumnRenamed("range", "r")
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    goal = goal.withColumnRenamed("source", "s2")
+    plan = ranges.join(goal, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    return materialise(plan, "mix-plan")
+
+
+def _taken(rows: DataFrame, plan: DataFrame, size: Column, order: list) -> DataFrame:
+    """``rows`` (with source and rank) with size, source_size, target and the words taken of each.
+
+    Rows stay where they are but those of a source's one range at the border of its
+    part, which are ranked by ``order``.
+    """
+    own = rows.columns
+    rows = salted_join(rows.withColumn("range", F.substring("rank", 1, RANGE_DIGITS)), plan, ["source", "range"], "inner")
     border = (F.col("before") < F.col("part")) & (F.col("before") + F.col("range_size") > F.col("part"))
-    inner = rows.filter(~border).withColumn("extra", F.when(F.col("before") < F.col("part"), F.col("size")).otherwise(F.lit(0)))
-    d = W.partitionBy("source").orderBy("rank", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge = rows.filter(border).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(d), F.lit(0)))
+    inner = rows.filter(~border).withColumn("size", size)
+    inner = inner.withColumn("extra", F.when(F.col("before") < F.col("part"), F.col("size")).otherwise(F.lit(0)))
+    d = W.partitionBy("source").orderBy("rank", *order).rowsBetween(W.unboundedPreceding, -1)
+    edge = rows.filter(border).withColumn("size", size).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(d), F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("start")))
     out = inner.unionByName(edge.withColumn("extra", extra).drop("start"))
     taken = (F.col("size") * F.col("whole") + F.col("extra")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return out.select(*[c for c in own if c not in ("size", "rank")], "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row per row of ``docs``.
+
+    ``taken`` counts words with repetitions: at most ``epochs`` times the size. A
+    null or empty text has size 0 and takes 0. A null source is a source like any
+    other. Rows that repeat a doc_id are ranked by their size; of rows alike in
+    both, any may take the part at the border. Null ids share one place in the order, so
+    one task ranks them if the border falls on it. No rows in, no rows out. Extra
+    columns are ignored.
+    """
+    docs = pick(docs, "doc_id", "text", "source")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _rank(F.col("doc_id").cast("string"), seed).alias("rank"))
+    sized = materialise(sized, "sizes")
+    return _taken(sized, _plan(sized, weights, share, epochs), F.col("size"), ["size"]).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` takes them, with all columns.
+    """The rows of ``docs`` as often as a mix of them takes them, with all columns.
 
     Every whole repetition is a row, and a part is a row with the first words of
-    the text, up to the last word taken. A text without words takes no row.
+    the text, up to the last word taken. A text without words takes no row. Rows are
+    ranked by a hash of (doc_id, hash of the text), and rows alike in these by a hash
+    of all columns, so reruns agree. Texts aren't shuffled but those of border ranges.
     """
     whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.select(whole.alias("row"), docs["doc_id"].alias("d_id"), docs["source"].alias("d_source"), key.alias("d_key"))
-    named = docs.select(F.struct(docs["doc_id"], key.alias("key")).alias("doc_id"), docs["text"], docs["source"])
-    taken = mix(named, seed, weights, share, epochs).filter("taken > 0")
-    # rows that repeat an id and its text are told apart by their rank alone, so any of them may take any share
-    copies = taken.groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.any_value("size").alias("size"))
-    copies = copies.select(F.col("doc_id.doc_id").alias("m_id"), F.col("doc_id.key").alias("m_key"), F.col("source").alias("m_source"), "taken", "size")
-    same = F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_key") == F.col("m_key")) & F.col("d_source").eqNullSafe(F.col("m_source"))
-    one = rows.dropDuplicates(["d_id", "d_key", "d_source"]).join(copies, same)
-    one = one.withColumn("times", F.expr("taken div size").cast("int")).withColumn("part", F.expr("taken % size").cast("int"))
-    full = one.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select("row.*")
+    name = F.to_json(F.struct(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("key")))
+    rows = docs.select(whole.alias("row"), docs["source"].alias("source"), _rank(name, seed).alias("rank"))
+    plan = _plan(rows.select("source", "rank", n_words(F.col("row.text")).alias("size")), weights, share, epochs)
+    some = _taken(rows, plan, n_words(F.col("row.text")), [F.xxhash64(F.to_json("row"))]).filter("taken > 0")
+    some = some.withColumn("times", F.expr("taken div size").cast("int")).withColumn("part", F.expr("taken % size").cast("int"))
+    # repetition 0 is the part
+    some = some.select("row", "part", F.explode(F.sequence(F.when(F.col("part") > 0, 0).otherwise(1), F.col("times"))).alias("k"))
     words = F.regexp_extract_all("row.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    head = F.array_join(F.slice(words, 1, F.col("part")), "")
-    part = one.filter("part > 0").withColumn("head", head).select(*[F.col("head").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return full.unionAll(part)
+    text = F.when(F.col("k") == 0, F.array_join(F.slice(words, 1, F.col("part")), "")).otherwise(F.col("row.text"))
+    return some.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB, with the fixed values written out.
