@@ -25,6 +25,10 @@ def sample(labels: DataFrame, label: str, fold: Column, per_class: int) -> DataF
 
 
 def training_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """text, y of the chosen documents; ``chosen`` is bounded, so it is broadcast."""
+    """text, y of the chosen documents, one row each; ``chosen`` is bounded, so it is broadcast.
+
+    Of rows that repeat a chosen doc_id, the one with the least text is taken.
+    """
     ids = chosen.withColumnRenamed("doc_id", "chosen_id")
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["chosen_id"]).select("text", "y")
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["chosen_id"])
+    return rows.groupBy("chosen_id").agg(F.min("text").alias("text"), F.any_value("y").alias("y")).select("text", "y")

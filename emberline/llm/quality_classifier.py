@@ -1,12 +1,11 @@
 """Quality of documents by a byte-level convolutional network in numpy.
 
 A text is cut into overlapping chunks that cover all of it. A symbol of a chunk is
-a byte, marked if it lies in a run of four words that the text holds more than
-once, or padding after the text's end. Learned filters over ``WIDTH`` symbols are
-max-pooled over each chunk; a dense layer turns the pooled features into the
-chunk's logit, and the mean of a text's logits gives one probability. Because
-only the place of a filter's maximum has a gradient, training is cheap: a filter
-is a table from (place, symbol) to a weight.
+a byte, or padding after the text's end; nothing else enters. Learned filters over
+``WIDTH`` symbols are max-pooled over each chunk; a dense layer turns the pooled
+features into the chunk's logit, and the mean of a text's logits gives one
+probability. Because only the place of a filter's maximum has a gradient, training
+is cheap: a filter is a table from (place, symbol) to a weight.
 """
 
 from __future__ import annotations
@@ -16,41 +15,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample, training_rows
-from .text import Words, grouped, sequence_hashes
-from .workspace import pick
+from .text import grouped
+from .workspace import pick, share, shared
 
-#: Labelled documents of either class that the network is fitted on, at most, and chunks of each.
-PER_CLASS, CHUNKS_EACH = 1200, 6
+#: Labelled documents of either class that the network is fitted on, at most; all chunks of each.
+PER_CLASS = 1200
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 64, 5, 16
-PAD, SYMBOLS = 512, 513
+PAD, SYMBOLS = 256, 257
 EPOCHS, RATE, SEED = 12, 0.02, 11
 BUDGET = 1 << 20
+#: Chunks held as symbols at once.
+SLICE = 256
 
 
-def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all chunks (chunks x CHUNK + WIDTH - 1), and the text each chunk is of."""
-    words = Words(texts)
-    h, per_text = words.hashes(), np.diff(words.first)
-    symbols = words.data.astype(np.int16)
-    if len(h) >= 4:
-        runs, owner = sequence_hashes(h, 4), np.repeat(np.arange(len(texts)), per_text)
-        runs = runs ^ (owner[: len(runs)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        whole = owner[: len(runs)] == owner[3:]
-        _, back, count = np.unique(runs, return_inverse=True, return_counts=True)
-        again = np.flatnonzero((count[back] > 1) & whole)
-        mark = np.zeros(len(symbols) + 1, np.int32)
-        np.add.at(mark, words.start[again], 1)
-        np.add.at(mark, words.end[again + 3], -1)
-        symbols += (np.cumsum(mark[:-1]) > 0).astype(np.int16) * 256
-    step = CHUNK - OVERLAP
-    sizes = np.array([len(t) for t in texts])
-    per = np.maximum(1, -(-(sizes - OVERLAP) // step))
-    of = np.repeat(np.arange(len(texts)), per)
-    number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    begin = words.text_start[of] + number * step
-    at = begin[:, None] + np.arange(CHUNK + WIDTH - 1)
-    stop = (words.text_start + sizes)[of]
-    return np.where(at < stop[:, None], symbols[np.minimum(at, len(symbols) - 1)], PAD), of
+class Chunks:
+    """The chunks of several texts, made into symbols a slice at a time."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(sizes) - sizes
+        step = CHUNK - OVERLAP
+        self.per = np.maximum(1, -(-(sizes - OVERLAP) // step))
+        #: The text each chunk is of.
+        self.of = np.repeat(np.arange(len(texts)), self.per)
+        number = np.arange(self.per.sum()) - np.repeat(np.cumsum(self.per) - self.per, self.per)
+        self.begin, self.stop = first[self.of] + number * step, (first + sizes)[self.of]
+
+    def symbols(self, chosen) -> np.ndarray:
+        """chunks x (CHUNK + WIDTH - 1) symbols of some chunks."""
+        at = self.begin[chosen][:, None] + np.arange(CHUNK + WIDTH - 1)
+        inside = at < self.stop[chosen][:, None]
+        return np.where(inside, self.data[np.minimum(at, len(self.data) - 1)], np.int16(PAD))
 
 
 class Network:
@@ -74,38 +70,42 @@ class Network:
             value[a : a + 64] = np.take_along_axis(total, best[:, None, :], 1)[:, 0]
         return np.tanh(value), place
 
-    def logits(self, chunks: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        each = self.pooled(chunks)[0] @ self.dense + self.bias[0]
-        return np.bincount(of, each, n) / np.maximum(np.bincount(of, minlength=n), 1)
+    def logits(self, chunks: Chunks) -> np.ndarray:
+        """The mean logit of each text's chunks."""
+        total = np.zeros(len(chunks.per))
+        for a in range(0, len(chunks.of), SLICE):
+            part = slice(a, a + SLICE)
+            total += np.bincount(chunks.of[part], self.pooled(chunks.symbols(part))[0] @ self.dense, len(total))
+        return total / chunks.per + self.bias[0]
 
     def probability(self, texts: list[bytes]) -> np.ndarray:
-        chunks, of = chunked(texts)
-        return 1 / (1 + np.exp(-np.clip(self.logits(chunks, of, len(texts)), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(Chunks(texts)), -30, 30)))
 
-    def train(self, chunks: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Adam on the weighted log-loss of documents; ``of`` is ascending."""
+    def train(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> None:
+        """Adam on the weighted log-loss of documents."""
         rng = np.random.default_rng(SEED)
         params = [self.filters, self.dense, self.bias]
         first, second = [[np.zeros_like(p) for p in params] for _ in range(2)]
-        starts, t = np.searchsorted(of, np.arange(len(y) + 1)), 0
+        t = 0
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
             order = rng.permutation(len(y))
             for a in range(0, len(order), 48):
                 docs = order[a : a + 48]
-                rows = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in docs])
-                own = np.repeat(np.arange(len(docs)), starts[docs + 1] - starts[docs])
-                part = chunks[rows]
-                value, place = self.pooled(part)
-                share = 1 / np.maximum(np.bincount(own, minlength=len(docs)), 1)
+                chunks = Chunks([texts[d] for d in docs])
+                own, share = chunks.of, 1 / chunks.per
+                parts = [slice(k, k + SLICE) for k in range(0, len(own), SLICE)]
+                found = [self.pooled(chunks.symbols(p)) for p in parts]
+                value = np.concatenate([f[0] for f in found])
                 logit = np.bincount(own, value @ self.dense, len(docs)) * share + self.bias[0]
                 error = weight[docs] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[docs]) / len(docs)
                 each = (error * share)[own].astype(np.float32)
                 g_value = each[:, None] * self.dense * (1 - value * value)
                 g_filters = np.zeros_like(self.filters)
-                f = np.broadcast_to(np.arange(FILTERS), place.shape)
-                for k in range(WIDTH):
-                    np.add.at(g_filters[k], (np.take_along_axis(part, place + k, 1), f), g_value)
+                for p, (_, place) in zip(parts, found, strict=True):
+                    symbols, f = chunks.symbols(p), np.broadcast_to(np.arange(FILTERS), place.shape)
+                    for k in range(WIDTH):
+                        np.add.at(g_filters[k], (np.take_along_axis(symbols, place + k, 1), f), g_value[p])
                 grads = [g_filters, value.T @ each, np.array([error.sum()], np.float32)]
                 t += 1
                 for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -114,16 +114,6 @@ class Network:
                     p -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)).astype(np.float32)
 
 
-def _training_chunks(batches):
-    import pyarrow as pa
-
-    for texts, rest in grouped(batches, BUDGET, ["y"]):
-        chunks, of = chunked(texts)
-        starts = np.searchsorted(of, np.arange(len(texts) + 1))
-        some = [np.unique(np.linspace(a, b - 1, min(b - a, CHUNKS_EACH)).astype(int)) for a, b in zip(starts, starts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array([chunks[s].astype("<i2").tobytes() for s in some], pa.binary()), pa.array(rest["y"], pa.int32())], ["chunks", "y"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, fold, per_class: int = PER_CLASS) -> Network:
     """The network of the labelled documents outside ``fold``; without labels it is untrained.
 
@@ -131,16 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, fold, per_class: int = PER_CLASS) ->
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~fold)
     share = known.agg(F.avg("quality").alias("s")).first()["s"]
-    rows = training_rows(docs, sample(labels, "quality", fold, per_class))
-    rows = rows.mapInArrow(_training_chunks, "chunks binary, y int").collect()  # at most 2 * per_class rows of CHUNKS_EACH chunks
-    rows.sort(key=lambda r: (r["y"], bytes(r["chunks"])))
+    rows = training_rows(docs, sample(labels, "quality", fold, per_class)).collect()  # at most 2 * per_class rows
+    rows.sort(key=lambda r: (r["y"], r["text"] or ""))
     network = Network()
     if rows:
-        chunks = [np.frombuffer(bytes(r["chunks"]), "<i2").reshape(-1, CHUNK + WIDTH - 1) for r in rows]
         y = np.array([r["y"] for r in rows], np.float64)
         share = float(np.clip(share, 0.05, 0.95))
         weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-        network.train(np.concatenate(chunks), np.repeat(np.arange(len(y)), [len(c) for c in chunks]), y, weight)
+        network.train([(r["text"] or "").encode() for r in rows], y, weight)
     return network
 
 
@@ -148,8 +136,9 @@ def _score(network):
     def run(batches):
         import pyarrow as pa
 
+        model = shared(network)
         for texts, rest in grouped(batches, BUDGET, ["doc_id"]):
-            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), pa.array(network.value.probability(texts), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), pa.array(model.probability(texts), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -163,6 +152,6 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, l
     """
     docs = pick(docs, "doc_id", "text")
     network = fit(docs, pick(labels, "doc_id", "quality"), remainder(F.col("doc_id"), folds) == held)
-    out = docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(network)), "doc_id long, score double")
+    out = docs.mapInArrow(_score(share(docs.sparkSession, network)), "doc_id long, score double")
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
