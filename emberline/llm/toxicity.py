@@ -2,15 +2,19 @@
 
 Tokens get log-odds of the toxic against the other labelled documents, with an
 informative Dirichlet prior drawn from both; a document counts a token once, so
-that one burst isn't evidence. Tokens whose log-odds are large and significant
-score that much, all others a small negative drift; a language's common words,
-which differ a little between the classes, thus don't add up. A linear
-scan (Ruzzo and Tompa) finds every maximal segment of a text. The expected number
-of segments of such a score in ordinary text of that length, K n exp(-lambda S),
-makes scores of long and short texts comparable; lambda solves the
-Karlin-Altschul equation for the ordinary documents' tokens. The sum of the
-significant segments' -log expectations gives the text's probability by a
-logistic curve.
+that one burst isn't evidence. Every token of the sample has a score: its log-odds,
+drawn to zero by the factor 1 - (CAUTION / z) ** 2 (zero where z is under CAUTION; z
+is the signed root of the token's likelihood ratio), plus a small negative drift. Tokens
+that the sample doesn't hold have the drift alone. A linear scan (Ruzzo and Tompa)
+finds every maximal segment of a text.
+
+The greatest segment of n tokens of ordinary text exceeds S with probability
+1 - exp(-K n exp(-lambda S)); K and lambda are the maximum-likelihood fit to the
+greatest segments of ordinary documents. A segment is significant if fewer than one
+as good is expected in an ordinary text of its text's length, and the sum of the
+significant segments' -log expectations gives the text's probability by a logistic
+curve. K, lambda and the curve are fitted crosswise: each of ``PARTS`` parts of the
+sample is scanned with log-odds learnt from the others.
 """
 
 from __future__ import annotations
@@ -20,19 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample, training_rows
-from .text import IS_MARK, U64, Words, grouped, span_hashes
-from .workspace import pick
+from .text import IS_MARK, U64, Words, grouped
+from .workspace import discard, materialise, pick, share, shared
 
 #: Labelled documents of either class that the model is fitted on, at most.
 PER_CLASS = 8000
-#: Scored tokens of the model, at most: those with the most significant log-odds.
-VOCABULARY = 50_000
-#: Mass of the prior in tokens; z score from which a token is scored; score of others.
-PRIOR, SIGNIFICANT, DRIFT = 500.0, 4.0, -0.05
-#: Bytes of a stem, by which a word that is not scored itself is scored.
-STEM = 6
-#: Least log-odds of a scored token.
-LARGE = 1.5
+#: Mass of the prior in tokens; z score up to which log-odds count for nothing; score of a token without any.
+PRIOR, CAUTION, DRIFT = 500.0, 3.0, -0.05
+#: Parts of the sample for fitting crosswise.
+PARTS = 5
 BUDGET = 2 << 20
 SCHEMA = "doc_id long, score double, passages array<struct<start:int,stop:int,score:double>>"
 
@@ -80,74 +80,88 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> tupl
     return score, np.sign(score) * np.sqrt(np.maximum(2 * ratio, 0))
 
 
-def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and of their stems: the first STEM bytes of a longer word."""
-    stop = np.minimum(words.end, words.start + STEM)
-    return words.hashes(), np.where(stop < words.end, span_hashes(words.data, words.start, stop) ^ U64(1), U64(0))
+def weights(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Scores of tokens from the numbers of documents that hold them."""
+    some = toxic + other > 0
+    score, z = log_odds(toxic[some], other[some])
+    out = np.full(len(toxic), DRIFT)
+    out[some] += score * (1 - np.square(CAUTION / np.maximum(np.abs(z), CAUTION)))
+    return out
 
 
-def karlin_lambda(scores: np.ndarray, shares: np.ndarray) -> float:
-    """The positive root of sum(shares * exp(lambda * scores)) = 1; 1 if there is none."""
-    if not (scores > 0).any() or (scores * shares).sum() >= 0:
-        return 1.0
-    low, high = 1e-6, 1.0
-    while (shares * np.exp(high * scores)).sum() < 1 and high < 64:
-        high *= 2
-    for _ in range(60):
+def extreme_values(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """K and lambda by maximum likelihood from the greatest segments of texts of ``n`` tokens; a text without any has 0.
+
+    The likelihood of x is K lambda n exp(-lambda x - K n exp(-lambda x)), and of none exp(-K n).
+    """
+    n = np.maximum(n, 1).astype(float)
+    some = best > 0
+    if not some.any():
+        return 1.0 / max(n.sum(), 1.0), 1.0
+    x, m, rest = best[some], n[some], n[~some].sum()
+
+    def slope(rate: float) -> float:
+        e = m * np.exp(-rate * x)
+        return 1 / rate - x.mean() + (x * e).sum() / (e.sum() + rest)
+
+    low, high = 1e-3, 64.0
+    for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if (shares * np.exp(mid * scores)).sum() < 1 else (low, mid)
-    return high
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    return float(len(x) / ((m * np.exp(-low * x)).sum() + rest)), low
+
+
+#: Counts of a token: of each part, among the others and among the toxic.
+COUNTS = [f"{kind}{k}" for k in range(PARTS) for kind in ("other", "toxic")]
 
 
 def _count(batches):
-    """Documents with each token, by class, in a task."""
+    """Documents with each token, by class and part, in a task."""
     import pyarrow as pa
 
-    keys, sums = np.empty(0, U64), np.empty((0, 2))
-    for texts, rest in grouped(batches, BUDGET, ["y"]):
+    keys, sums = np.empty(0, U64), np.empty((0, 2 * PARTS))
+    for texts, rest in grouped(batches, BUDGET, ["y", "part"]):
         words = Words(texts, lower=True, apart=IS_MARK)
-        y = np.repeat(np.array(rest["y"]), np.diff(words.first))
-        h, owner = np.concatenate(tokens(words)), np.tile(np.repeat(np.arange(len(texts)), np.diff(words.first)), 2)
-        y = np.tile(y, 2)
+        column = np.repeat(2 * np.array(rest["part"]) + np.array(rest["y"]), np.diff(words.first))
+        h, owner = words.hashes(), np.repeat(np.arange(len(texts)), np.diff(words.first))
         order = np.lexsort((owner, h))
         once = order[np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(owner[order]) != 0)))[: len(order)]]
         both, back = np.unique(np.concatenate((keys, h[once])), return_inverse=True)
-        new = np.zeros((len(both), 2))
+        new = np.zeros((len(both), 2 * PARTS))
         new[back[: len(keys)]] += sums
-        np.add.at(new, (back[len(keys) :], y[once]), 1)
+        np.add.at(new, (back[len(keys) :], column[once]), 1)
         keys, sums = both, new
-    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 0])], ["token", "toxic", "other"])
+    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(c.copy()) for c in sums.T]], ["token", *COUNTS])
 
 
 class Model:
-    """Scored tokens (sorted hashes) and the calibration."""
+    """Scores of tokens (by sorted hashes) and the calibration."""
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
+        self.hashes, self.weights = hashes, weights
+        self.constant, self.rate, self.slope, self.bias = 1.0, 1.0, 1.0, -3.0
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, rate: float, constant: float):
-        self.hashes, self.weights, self.rate, self.constant = hashes, weights, rate, constant
-        self.slope, self.bias = 1.0, -3.0
+    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int, float]]]]:
+        """(number of tokens, maximal segments) of each text."""
+        words = Words(texts, lower=True, apart=IS_MARK)
+        n = np.diff(words.first).tolist()
+        if not len(self.hashes):
+            return [(k, []) for k in n]
+        h = words.hashes()
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        scored = np.where(self.hashes[at] == h, self.weights[at], DRIFT)
+        # runs of tokens at the drift are passed over at once
+        hit = np.flatnonzero(scored != DRIFT)
+        weight, bounds = scored[hit], np.searchsorted(hit, words.first)
+        spans = zip(bounds.tolist(), bounds[1:].tolist(), words.first.tolist(), n, strict=False)
+        return [(k, segments((hit[a:b] - first).tolist(), weight[a:b].tolist(), DRIFT)) for a, b, first, k in spans]
 
     def passages(self, texts: list[bytes]) -> list[tuple[float, list]]:
         """(evidence, significant passages) of each text."""
-        words = Words(texts, lower=True, apart=IS_MARK)
         out: list[tuple[float, list]] = []
-        if not len(self.hashes):
-            return [(0.0, [])] * len(texts)
-        scored = np.zeros(len(words.start))
-        for h in tokens(words)[::-1]:  # a word's own score is taken before its stem's
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            scored = np.where(self.hashes[at] == h, self.weights[at], scored)
-        hit = np.flatnonzero(scored)
-        weight = scored[hit]
-        bounds = np.searchsorted(hit, words.first)
-        for i, n in enumerate(np.diff(words.first).tolist()):
-            a, b = bounds[i], bounds[i + 1]
-            evidence, found = 0.0, []
-            for start, stop, s in segments((hit[a:b] - words.first[i]).tolist(), weight[a:b].tolist(), DRIFT):
-                e = -np.log(self.constant * n) + self.rate * s
-                if e > 0:
-                    evidence += e
-                    found.append({"start": start, "stop": stop, "score": s})
-            out.append((evidence, found))
+        for n, found in self.scan(texts):
+            each = [(-np.log(self.constant * n) + self.rate * s, a, b, s) for a, b, s in found]
+            out.append((sum(e for e, *_ in each if e > 0), [{"start": a, "stop": b, "score": s} for e, a, b, s in each if e > 0]))
         return out
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -166,37 +180,44 @@ class Model:
         self.slope, self.bias = max(beta[0], 0.0), beta[1]
 
 
-def _evidence(model):
+def _crosswise(models):
+    """Scores of all segments of sample texts by the model that hasn't seen their part."""
+
     def run(batches):
         import pyarrow as pa
 
-        for texts, rest in grouped(batches, BUDGET, ["y"]):
-            found = model.value.passages(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array(rest["y"], pa.int32())], ["evidence", "y"])
+        scorers = shared(models)
+        for texts, rest in grouped(batches, BUDGET, ["y", "part"]):
+            found = [scorers[k].scan([t])[0] for t, k in zip(texts, rest["part"], strict=True)]
+            lists = [[s for *_, s in segs] for _, segs in found]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(lists, pa.list_(pa.float64())), pa.array(rest["y"], pa.int32())], ["n", "scores", "y"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold, per_class: int = PER_CLASS, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fold, per_class: int = PER_CLASS) -> Model:
     """The model of the labelled documents outside ``fold``; without labels, every score is low."""
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~fold)
-    share = known.agg(F.avg("toxic").alias("s")).first()["s"] or 0.05
-    rows = training_rows(docs, sample(labels, "toxic", fold, per_class))
-    counts = rows.mapInArrow(_count, "token long, toxic double, other double").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counts = counts.toPandas()  # of at most 2 * per_class documents
-    toxic, other = counts["toxic"].to_numpy(), counts["other"].to_numpy()
-    score, z = log_odds(toxic, other)
-    used = np.flatnonzero((np.abs(z) >= SIGNIFICANT) & (np.abs(score) >= LARGE))
-    used = used[np.argsort(-np.abs(z[used]), kind="stable")][:vocabulary]
-    hashes = counts["token"].to_numpy().astype(np.int64).view(U64)[used]
-    order = np.argsort(hashes)
-    weights = score[used] + DRIFT
-    shares = np.append(other[used], other.sum() - other[used].sum()) / max(other.sum(), 1.0)
-    model = Model(hashes[order], weights[order], karlin_lambda(np.append(weights, DRIFT), shares), 0.01)
-    seen = rows.mapInArrow(_evidence(context.broadcast(model)), "evidence double, y int").toPandas()
-    if len(seen):
-        model.calibrate(seen["evidence"].to_numpy(), seen["y"].to_numpy(), float(np.clip(share, 0.01, 0.99)))
+    toxic_share = known.agg(F.avg("toxic").alias("s")).first()["s"] or 0.05
+    rows = training_rows(docs, sample(labels, "toxic", fold, per_class)).withColumn("part", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(PARTS)).cast("int"))
+    rows = materialise(rows, "toxic-sample")
+    counts = rows.mapInArrow(_count, ", ".join(["token long", *[f"{c} double" for c in COUNTS]])).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    counts = counts.toPandas().sort_values("token", key=lambda t: t.to_numpy().astype(np.int64).view(U64))  # of at most 2 * per_class documents
+    hashes = counts["token"].to_numpy().astype(np.int64).view(U64)
+    parts = counts[COUNTS].to_numpy(float).reshape(-1, PARTS, 2)
+    whole = parts.sum(1)
+    model = Model(hashes, weights(whole[:, 1], whole[:, 0]))
+    cross = [Model(hashes, weights(*(whole - parts[:, k]).T[::-1])) for k in range(PARTS)]
+    seen = rows.mapInArrow(_crosswise(share(spark, cross)), "n long, scores array<double>, y int").collect()
+    discard(rows)
+    if seen:
+        n, y = np.array([r["n"] for r in seen]), np.array([r["y"] for r in seen])
+        best = np.array([max(r["scores"], default=0.0) for r in seen])
+        if (y == 0).any():
+            model.constant, model.rate = extreme_values(best[y == 0], n[y == 0])
+        each = [[e for e in (-np.log(model.constant * max(r["n"], 1)) + model.rate * s for s in r["scores"]) if e > 0] for r in seen]
+        model.calibrate(np.array([sum(e) for e in each]), y, float(np.clip(toxic_share, 0.01, 0.99)))
     return model
 
 
@@ -204,10 +225,11 @@ def _score(model):
     def run(batches):
         import pyarrow as pa
 
+        scorer = shared(model)
         schema = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
         for texts, rest in grouped(batches, BUDGET, ["doc_id"]):
-            found = model.value.passages(texts)
-            score = model.value.probability(np.array([f[0] for f in found]))
+            found = scorer.passages(texts)
+            score = scorer.probability(np.array([f[0] for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), pa.array(score), pa.array([f[1] for f in found], schema)], ["doc_id", "score", "passages"])
 
     return run
@@ -223,6 +245,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     """
     docs = pick(docs, "doc_id", "text")
     model = fit(docs, pick(labels, "doc_id", "toxic"), remainder(F.col("doc_id"), folds) == held)
-    out = docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), SCHEMA)
+    out = docs.mapInArrow(_score(share(docs.sparkSession, model)), SCHEMA)
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
