@@ -1,14 +1,18 @@
 """Quality rules: base counts, and robust multivariate outliers by group.
 
 Every text gets a vector of transformed statistics. For each (lang, source) group
-a minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps: keep the ``share`` of documents nearest by Mahalanobis
-distance, take their mean and covariance, and repeat. A document is rejected if
-its distance from its group's estimate is above a chi-square cut-off. The order
-statistic of a step comes from a histogram of distances, so a step is two grouped
-sums over one small row per document, and no group is gathered or sorted. What a
-step finds, one row per group, is written and broadcast if its counted rows are few,
-so the documents' rows stay where they are.
+the minimum-covariance-determinant estimate of centre and scatter is sought: the
+``SHARE`` of its documents whose covariance has the least determinant. Three starts
+(documents nearest to the medians by the sum and by the greatest of their squared
+deviations, and a share of them at random) each take concentration steps: keep the
+share of documents nearest by Mahalanobis distance, take their mean and covariance,
+which never raises the determinant. The start with the least determinant goes on until the
+determinants settle, and its estimate is reweighted over all documents within the
+97.5 % chi-square bound. A document is rejected if its distance from its group's
+estimate is above a chi-square cut-off. The order statistic of a step comes from a
+histogram of distances, so a step is two grouped sums over one small row per document
+and start, and no group is gathered or sorted. What a step finds, one row per group, is
+written and broadcast if its files are small, so the documents' rows stay where they are.
 
 Only DataFrame functions are used. A group with fewer than ``least`` documents
 joins the other small groups of its language, and those the small languages; if
@@ -28,8 +32,10 @@ from .workspace import materialise, pick, small_side
 #: Fixed values of the task.
 SYMBOLS, WINDOW, LEAST_WORDS, REPEAT_PERCENT = "[#*$%&|<>]", 8, 20, 30
 WORD = r"[^\x20\x09-\x0D]"
-#: Share of a group that a concentration step keeps; number of steps.
-SHARE, STEPS = 0.75, 3
+#: Share of a group that a concentration step keeps; steps of every start, and most steps of the best.
+SHARE, STEPS, MOST_STEPS = 0.75, 2, 10
+#: Fall of a log determinant that counts as settled; bound of the reweighting.
+SETTLED, WITHIN = 0.01, 0.975
 #: Smallest groups with an estimate of their own, and with any estimate.
 LEAST, FEWEST = 100, 20
 #: Chance that the cut-off leaves to a document of a normal group.
@@ -123,13 +129,13 @@ def _groups(rows: DataFrame) -> DataFrame:
     return sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), name.alias("g"))
 
 
-def _moments(rows: DataFrame, d: int) -> DataFrame:
-    """Centre (m_i) and Cholesky factor (l_i_j) of the rows of each group, with a floor of half a least scale."""
+def _moments(rows: DataFrame, d: int, share: float = SHARE) -> DataFrame:
+    """Centre (m_i), Cholesky factor (l_i_j) and log determinant of the rows of each group, the nearest ``share``, with a floor of half a least scale."""
     xs = [F.col(f"x{i}") for i in range(d)]
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]
     sums += [F.avg(xs[i] * xs[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
     out = rows.groupBy("g").agg(F.count("*").alias("n"), *sums)
-    factor = SHARE / chi2_cdf(chi2_quantile(SHARE, d), d + 2)
+    factor = share / chi2_cdf(chi2_quantile(share, d), d + 2)
     for i in range(d):
         for j in range(i + 1):
             c = (F.col(f"c{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (0.25 if i == j else 0.0)
@@ -137,7 +143,8 @@ def _moments(rows: DataFrame, d: int) -> DataFrame:
                 c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             value = F.sqrt(F.greatest(c, F.lit(1e-6))) if i == j else c / F.col(f"l{j}_{j}")
             out = out.withColumn(f"l{i}_{j}", value)
-    keep = ["g", "n", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)]]
+    out = out.withColumn("logdet", sum((F.log(f"l{i}_{i}") * 2 for i in range(1, d)), F.log("l0_0") * 2))
+    keep = ["g", "n", "logdet", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)]]
     return out.select(*keep)
 
 
@@ -166,19 +173,43 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return rows.join(edge.withColumnRenamed("g", "eg"), F.col("g") == F.col("eg")).filter("bin <= edge").drop("eg", "edge", "bin")
 
 
-def _estimates(rows: DataFrame, d: int) -> DataFrame:
-    """MCD moments of each group with at least FEWEST rows."""
+def _starts(rows: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` once for every start, its number after g; and the same with d2 by that start."""
     quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(d)])
     quartiles = small_side(materialise(quartiles, "quartiles"))
-    start = rows.join(quartiles.withColumnRenamed("g", "qg"), F.col("g") == F.col("qg"))
+    joined = rows.join(quartiles.withColumnRenamed("g", "qg"), F.col("g") == F.col("qg"))
     spread = [(F.col(f"x{i}") - F.col(f"q{i}")[1]) / F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(0.5)) for i in range(d)]
-    d2 = sum((s * s for s in spread[1:]), spread[0] * spread[0])
-    near = _nearest(start.select(*rows.columns, d2.alias("d2")))
+    squares = [s * s for s in spread]
+    chance = F.pmod(F.xxhash64(*[f"x{i}" for i in range(d)]), F.lit(1 << 20)) / float(1 << 20)
+    by = F.array(sum(squares[1:], squares[0]), F.greatest(*squares), chance)
+    name = F.concat("g", F.lit("#"), F.col("start").cast("string"))
+    begun = joined.select("g", *[f"x{i}" for i in range(d)], F.posexplode(by).alias("start", "d2")).withColumn("g", name).drop("start")
+    every = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("g", name).drop("start")
+    return every, begun
+
+
+def _estimates(rows: DataFrame, d: int) -> DataFrame:
+    """MCD moments of each group with at least FEWEST rows."""
+    every, begun = _starts(rows, d)
+    near = _nearest(begun)
     for step in range(STEPS):
         moments = small_side(materialise(_moments(near, d), "moments"))
         if step < STEPS - 1:
-            near = _nearest(_distance(rows, moments, d))
-    return moments.filter(F.col("n") >= FEWEST * SHARE).drop("n")
+            near = _nearest(_distance(every, moments, d))
+    columns = [c for c in moments.columns if c not in ("g", "start")]
+    best = moments.withColumn("start", F.regexp_extract("g", r"#(\d)$", 1)).withColumn("g", F.regexp_replace("g", r"#\d$", ""))
+    best = best.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
+    moments = small_side(materialise(best, "best-moments"))
+    for _ in range(MOST_STEPS):
+        following = small_side(materialise(_moments(_nearest(_distance(rows, moments, d)), d), "moments"))
+        fall = following.select("g", F.col("logdet").alias("new")).join(moments.select("g", "logdet"), "g").filter(F.col("logdet") - F.col("new") > SETTLED)
+        settled = fall.isEmpty()
+        moments = following
+        if settled:
+            break
+    within = _distance(rows, moments, d).filter(F.col("d2") <= chi2_quantile(WITHIN, d))
+    moments = small_side(materialise(_moments(within, d, WITHIN), "reweighted"))
+    return moments.filter(F.col("n") >= FEWEST * SHARE).drop("n", "logdet")
 
 
 def quality(docs: DataFrame, text: bool = True) -> DataFrame:
