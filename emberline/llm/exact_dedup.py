@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import LOWER, grouped, power_table
-from .workspace import materialise, pick
+from .workspace import discard, materialise, pick, salted_join
 
 #: Bytes that decide a chunk's end; mean, least and largest chunk in bytes.
 WINDOW, MEAN, LEAST, LARGEST = 32, 2048, 512, 16384
@@ -77,15 +77,16 @@ def _recipes(width: int):
         import pyarrow as pa
 
         table = bytes(LOWER)
-        for texts, rest in grouped(batches, BUDGET, ["doc_id"]):
+        for texts, rest in grouped(batches, BUDGET, ["doc_id", "t"]):
             normal = [t.translate(table) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rest["doc_id"], pa.int64()),
+                    pa.array(rest["t"], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in normal], pa.string()),
                     pa.array([b"".join([digest(c, width) for c in chunks(t)]) for t in normal], pa.binary()),
                 ],
-                ["doc_id", "text_sha256", "recipe"],
+                ["doc_id", "t", "text_sha256", "recipe"],
             )
 
     return run
@@ -138,18 +139,26 @@ def exact_groups(docs: DataFrame, width: int = 16) -> DataFrame:
     largest doc_id of a group stays. ``width`` is the bytes of an identifier.
     Null text counts as empty, and empty texts form one group. Rows that repeat a
     doc_id count each in group_size, and one row of a group is kept. A null
-    doc_id is smaller than any other. Other columns of ``docs`` are ignored; an
+    doc_id is smaller than any other. Rows of a large group stay spread over tasks:
+    what is joined back to them is one row a group. Other columns of ``docs`` are ignored; an
     empty table gives no rows.
     """
-    docs = pick(docs, "doc_id", "text")
-    recipes = docs.mapInArrow(_recipes(width), "doc_id long, text_sha256 string, recipe binary")
+    docs = pick(docs, "doc_id", "text").withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    recipes = docs.mapInArrow(_recipes(width), "doc_id long, t long, text_sha256 string, recipe binary")
     recipes = materialise(recipes.withColumn("tag", F.monotonically_increasing_id()), "recipes")
+
+    def groups(rows: DataFrame, *keys: str) -> DataFrame:
+        """The keys of several rows, with their number and the row that stays, written."""
+        stays = F.max(F.struct("doc_id", "tag")).alias("stays")
+        return materialise(rows.groupBy(*keys).agg(F.count("*").alias("group_size"), stays).filter("group_size > 1"), "shared")
+
+    shared = groups(recipes, "recipe")
+    grouped_rows = salted_join(recipes, shared, ["recipe"])
     # documents move only if their recipe is shared, and then as chunks that differ in a task
-    shared = recipes.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1").select("recipe")
-    ids = recipes.join(shared, "recipe", "left_semi").select("doc_id").distinct()
-    sent = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(_distinct_chunks(width), "id binary, chunk binary")
+    ids = materialise(grouped_rows.filter("group_size IS NOT NULL").select("doc_id", "t").distinct(), "shared-documents")
+    sent = salted_join(docs, ids, ["doc_id", "t"], "left_semi").mapInArrow(_distinct_chunks(width), "id binary, chunk binary")
     clashes = materialise(sent.repartition("id").sortWithinPartitions("id").mapInArrow(_clashing, "id binary").distinct(), "clashes")
-    rows = recipes.withColumn("key", F.struct("recipe", F.lit(None).cast("binary").alias("whole")))
+    discard(ids)
     if not clashes.isEmpty():
         parts = F.expr(f"transform(sequence(1, length(recipe), {width}), i -> substring(recipe, i, {width}))")
         hit = recipes.filter("length(recipe) > 0").select("recipe", F.explode(parts).alias("id")).join(clashes, "id", "left_semi").select("recipe").distinct()
@@ -158,11 +167,9 @@ def exact_groups(docs: DataFrame, width: int = 16) -> DataFrame:
         texts = texts.select(F.sha2("whole", 256).alias("text_sha256"), "whole")
         hit = recipes.join(hit, "recipe", "left_semi").select("text_sha256").distinct()
         rows = recipes.join(texts.join(hit, "text_sha256", "left_semi"), "text_sha256", "left")
-        rows = rows.withColumn("key", F.struct("recipe", "whole"))
-    groups = rows.groupBy("key").agg(F.max(F.struct("doc_id", "tag")).alias("stays"), F.count("*").alias("group_size"))
-    out = rows.join(groups.filter("group_size > 1"), "key", "left")
+        grouped_rows = salted_join(rows, groups(rows, "recipe", "whole"), ["recipe", "whole"])
     alone = F.col("group_size").isNull()
-    return out.select(
+    return grouped_rows.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
