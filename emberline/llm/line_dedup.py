@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import BASE, BYTE_VALUE, U64, give_back, grouped, mix, power_table
-from .workspace import input_bytes, materialise, pick, small_side
+from .workspace import discard, input_bytes, materialise, pick, salted_join, small_side
 
 MIN_CHARS = 20
 BUDGET = 2 << 20
 #: Bytes of input for each bucket of variants.
 BUCKET_BYTES = 1 << 20
-LINES = "d long, t long, line_no int, h long, keys array<long>"
+LINES = "d long, t long, line_no int, h binary, keys array<long>"
 
 
 def code_points(line: np.ndarray) -> np.ndarray:
@@ -46,6 +46,11 @@ def line_hash(total: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(total + size.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
+def line_id(line: bytes) -> bytes:
+    """128 bits that stand for a line's text."""
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
 def digest64(part: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
 
@@ -90,8 +95,8 @@ def _lines(least: int):
                 for k, line in enumerate(text.split(b"\n")):
                     if line.strip():
                         long = len(line) >= least and len(line.decode("utf-8", "replace")) >= least
-                        out.append((d, t, k, digest64(b"l" + line), half_keys(line) if long else []))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["d", "t", "line_no", "h", "keys"])
+                        out.append((d, t, k, line_id(line), half_keys(line) if long else []))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], ["d", "t", "line_no", "h", "keys"])
 
     return run
 
@@ -106,7 +111,7 @@ def _texts(batches):
             lines = text.split(b"\n")
             out += [(x["h"], d, t, x["line_no"], lines[x["line_no"]]) for x in named]
         names = ["h", "d", "t", "line_no", "line"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], ty) for i, ty in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
 
 
 #: One line's order: (d, t, line_no); kinds of keys: the line's own, a deletion, a deletion with its place.
@@ -189,7 +194,7 @@ def _verified(batches):
 
     for b in batches:
         rows = zip(b.column("h").to_pylist(), b.column("line").to_pylist(), b.column("line2").to_pylist(), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, x, y in rows if within_one_edit(x.decode("utf-8", "replace"), y.decode("utf-8", "replace"))], pa.int64())], ["h"])
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, x, y in rows if within_one_edit(x.decode("utf-8", "replace"), y.decode("utf-8", "replace"))], pa.binary())], ["h"])
 
 
 def _without(batches):
@@ -220,20 +225,23 @@ def removed_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     buckets = int(min(max(input_bytes(docs) // BUCKET_BYTES, 32), 1 << 20))
     lines = materialise(docs.mapInArrow(_lines(least), LINES), "lines")
     place = F.struct("d", "t", "line_no")
-    distinct = materialise(lines.groupBy("h").agg(F.min(place).alias("first"), F.any_value("keys").alias("keys")), "distinct-lines")
+    distinct = materialise(lines.groupBy("h").agg(F.min(place).alias("first"), F.any_value("keys").alias("keys"), F.count("*").alias("n")), "distinct-lines")
     keys = distinct.select("h", "first", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     close = keys.join(shared, "key", "left_semi").groupBy("h").agg(F.any_value("first").alias("first"))
     named = close.groupBy("first.d", "first.t").agg(F.collect_list(F.struct("h", F.col("first.line_no").alias("line_no"))).alias("named"))
-    named = small_side(materialise(named, "named-lines"))
-    texts = materialise(docs.join(named, ["d", "t"]).select("d", "t", "named", "text").mapInArrow(_texts, "h long, d long, t long, line_no int, line binary"), "close-lines")
+    named_table = materialise(named, "named-lines")
+    texts = materialise(docs.join(small_side(named_table), ["d", "t"]).select("d", "t", "named", "text").mapInArrow(_texts, "h binary, d long, t long, line_no int, line binary"), "close-lines")
     dealt = texts.select("d", "t", "line_no", "line").mapInArrow(_variants(buckets), "bucket int, entries binary, lines binary")
     pairs = dealt.groupBy("bucket").applyInArrow(_earliest, "d long, t long, line_no int, d2 long, t2 long, line_no2 int").distinct()
     other = texts.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("line_no").alias("line_no2"), F.col("line").alias("line2"))
-    checked = pairs.join(texts, ["d", "t", "line_no"]).join(other, ["d2", "t2", "line_no2"]).select("h", "line", "line2").mapInArrow(_verified, "h long")
+    checked = pairs.join(texts, ["d", "t", "line_no"]).join(other, ["d2", "t2", "line_no2"]).select("h", "line", "line2").mapInArrow(_verified, "h binary")
     goes = materialise(checked.distinct().withColumn("near", F.lit(True)), "near-lines")
-    first = distinct.select("h", "first").join(goes, "h", "left")
-    again = lines.select("h", place.alias("place")).join(first, "h").filter(F.col("near").isNotNull() | (F.col("place") != F.col("first")))
+    first = distinct.select("h", "first", "n").join(goes, "h", "left").filter("n > 1 OR near").select("h", "first", "near")
+    first = materialise(first, "repeated-lines")
+    again = salted_join(lines.select("h", place.alias("place")), first, ["h"], "inner").filter(F.col("near").isNotNull() | (F.col("place") != F.col("first")))
+    again = materialise(again.select("place"), "repeats")
+    discard(lines, distinct, named_table, texts, goes, first)
     return again.groupBy("place.d", "place.t").agg(F.array_sort(F.collect_set("place.line_no")).alias("gone"))
 
 
@@ -251,8 +259,8 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     d = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
     rows = docs.select(whole.alias("row_id"), d.alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    gone = small_side(materialise(removed_lines(rows.select("d", "t", "text"), least), "removed-lines"))
-    joined = rows.join(gone, ["d", "t"], "left").select("row_id", "gone", "text")
+    gone = materialise(removed_lines(rows.select("d", "t", "text"), least), "removed-lines")
+    joined = salted_join(rows, gone, ["d", "t"]).select("row_id", "gone", "text")
     schema = joined.select("row_id", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
     return joined.mapInArrow(_without, schema)
 
