@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import U64, Words, grouped
-from .workspace import discard, materialise, pick, small_side
+from .workspace import discard, materialise, pick, salted_join, small_side
 
 #: Fixed values of the task: words in a shingle, seed of its hash, bits of a link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -161,10 +161,17 @@ def components(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, root) of every linked node; the root is the least node.
 
     Alternates two star steps, each a group minimum and a join by node, until a
-    round changes nothing. Every round is written to the shared folder.
+    round changes nothing: until the number of links and a sum and an exclusive or of
+    their hashes stay the same. Every round is written to the shared folder.
     """
+
+    def state(table: DataFrame) -> tuple:
+        h = F.xxhash64("u", "v")
+        return tuple(table.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
     low, high = F.least("u", "v"), F.greatest("u", "v")
     now = materialise(links.filter("u <> v").select(high.alias("u"), low.alias("v")).distinct(), "links")
+    was = state(now)
     while True:
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -172,10 +179,10 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("a"), "m").filter("a <> m").toDF("u", "v").union(least.toDF("u", "v")).distinct()
         new = materialise(small, "links")
-        same = new.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(new, ["u", "v"], "left_anti").isEmpty()
         discard(now)
-        now = new
-        if same:
+        now, before = new, was
+        was = state(now)
+        if was == before:
             named = now.toDF("node", "root")
             named._emberline_path = now._emberline_path
             return named
@@ -237,12 +244,13 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radiu
     """
     prints, named = _rooted(docs, shingle, seed, radius)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("size")).filter("size > 1")
-    lows = named.select("print", "root").join(lows, "root").select("print", "component_id")
-    out = prints.join(lows, "print", "left")
+    lows = materialise(named.select("print", "root").join(lows, "root").select("print", "component_id"), "component-ids")
+    out = salted_join(prints, lows, ["print"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """One row of each near-duplicate group of ``docs``, with all columns: the first by (doc_id, hash of the text), null ids last."""
     prints, named = _rooted(docs, shingle, seed, radius)
-    return first_rows(docs, prints.join(named.select("print", "root"), "print").select("z", "d", "t", "root"))
+    roots = materialise(named.select("print", "root"), "print-roots")
+    return first_rows(docs, salted_join(prints, roots, ["print"]).select("z", "d", "t", "root"))
