@@ -17,7 +17,9 @@ A block is stored as one row of compressed texts. Replies to a block hold no key
 hashes its texts again and finds the same keys in the same order.
 
 Passages grow with the corpus, so automata are not broadcast to all workers but go to
-the tasks that hold a shard's runs; a shard with many runs is given to several tasks.
+the tasks that hold a shard's runs. Runs of equal words are one run there; a shard with
+many different runs is given to several tasks, and a long passage is cut into parts that
+share all but one word of a window, so that no automaton outgrows ``PART`` words by much.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, Words, grouped, sequence_hashes
-from .workspace import input_bytes, materialise, pick, small_side
+from . import blocks
+from .blocks import packed, unpacked
+from .text import U64, Words, sequence_hashes
+from .workspace import discard, input_bytes, materialise, pick, salted_join
 
 #: Fixed value of the task: words in a window.
 LENGTH = 35
@@ -35,8 +39,8 @@ LENGTH = 35
 RUN = 20
 BLOCK = 2 << 20
 BUCKET_BYTES = 1 << 20
-#: Words streamed by one task through a shard's automaton.
-STREAM = 1_000_000
+#: Words streamed by one task through a part of a shard, words of such a part, and most windows of a run.
+STREAM, PART, PIECE = 1_000_000, 300_000, 50_000
 
 
 class Automaton:
@@ -144,7 +148,6 @@ def _by_bucket(block: int, keys: np.ndarray, bits: int):
 
 ASK = "block long, bucket int, keys binary, twice binary"
 TELL = "block long, bucket int, windows boolean, first binary"
-STORE = "block long, doc_id array<bigint>, size array<int>, texts binary"
 
 
 def _repeated(windows: bool):
@@ -167,59 +170,22 @@ def _repeated(windows: bool):
             own = first[back[at : at + n]]
             at += n
             if (own >= 0).any():
-                out.append((block, bucket, windows, _planes(own)))
+                out.append((block, bucket, windows, packed(own)))
         kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "bucket", "windows", "first"])
 
     return run_
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """64-bit integers, the lowest byte of each first, then the next ones: most of these are alike and compress well."""
-    import pyarrow as pa
-
-    raw = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def _from_planes(packed: bytes, n: int) -> np.ndarray:
-    import pyarrow as pa
-
-    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, 8 * n, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, n).T).view("<i8").ravel()
-
-
-def _store(batches):
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    block = TaskContext.get().partitionId() << 24
-    for texts, rest in grouped(batches, BLOCK, ["doc_id"]):
-        packed = pa.Codec("zstd").compress(b"".join(texts), asbytes=True)
-        columns = [pa.array([block], pa.int64()), pa.array([rest["doc_id"]], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([packed], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "size", "texts"])
-        block += 1
-
-
-def _words(table, row: int = 0) -> tuple[int, Words]:
-    """A stored block's number and the words of its texts."""
-    import pyarrow as pa
-
-    sizes = table.column("size")[row].as_py()
-    data = pa.Codec("zstd").decompress(table.column("texts")[row].as_py(), sum(sizes), asbytes=True)
-    ends = np.cumsum([0, *sizes]).tolist()
-    return table.column("block")[row].as_py(), Words([data[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-
-
 def _answers(keys: np.ndarray, told, windows: bool, bits: int) -> np.ndarray:
     """For each of a block's sorted keys, the first block that has it, -1 if it occurs once in all."""
     first = np.full(len(keys), -1)
     to = (keys >> U64(64 - bits)).astype(np.int64)
     buckets = told.column("bucket").to_numpy()
     starts, stops = np.searchsorted(to, buckets), np.searchsorted(to, buckets, "right")
-    for kind, a, b, packed in zip(told.column("windows").to_pylist(), starts.tolist(), stops.tolist(), told.column("first").to_pylist(), strict=True):
+    for kind, a, b, data in zip(told.column("windows").to_pylist(), starts.tolist(), stops.tolist(), told.column("first").to_pylist(), strict=True):
         if kind == windows:
-            first[a:b] = _from_planes(packed, b - a)
+            first[a:b] = unpacked(data, b - a)
     return first
 
 
@@ -252,7 +218,7 @@ def _names(bits: int, length: int, run: int):
     def run_(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                block, words = _words(batch, row)
+                block, words = blocks.words(batch, row)
                 _, keys = _name_keys(words.hashes(), _valid(words, length), length, run)
                 yield from _by_bucket(block, keys, bits).to_batches()
 
@@ -265,14 +231,14 @@ def _windows(bits: int, length: int, run: int):
 
         if not docs.num_rows or not told.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "twice": pa.array([], pa.binary())})
-        block, words = _words(docs)
+        block, words = blocks.words(docs)
         _, windows, may = _candidates(words, told, bits, length, run)
         return _by_bucket(block, windows[may], bits)
 
     return run_
 
 
-SPANS = "shard long, block long, ord int, start int, words binary"
+SPANS = "shard long, block long, ord int, start int, part int, words binary"
 
 
 def _spans(bits: int, length: int, run: int):
@@ -283,7 +249,7 @@ def _spans(bits: int, length: int, run: int):
 
         out: list[tuple] = []
         if docs.num_rows and told.num_rows:
-            block, words = _words(docs)
+            block, words = blocks.words(docs)
             h, windows, may = _candidates(words, told, bits, length, run)
             keys = np.unique(windows[may])
             first = _answers(keys, told, True, bits)
@@ -298,34 +264,41 @@ def _spans(bits: int, length: int, run: int):
                     return
                 cut = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(to) != 0) | (np.diff(owner[place]) != 0))))
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(place)], strict=True):
-                    yield int(place[a]), int(place[b - 1]) + length, int(to[a])
+                    for x in range(a, b, PIECE):  # every window lies in one piece
+                        yield int(place[x]), int(place[min(x + PIECE, b) - 1]) + length, int(to[x])
 
             own = found[shard == block]
             own = np.sort(own[np.unique(windows[own], return_index=True)[1]])  # the first of each here
-            out += [(block, block, None, None, raw[a:b].tobytes()) for a, b, _ in runs(own, np.full(len(own), block))]
+            size = 0
+            for a, b, _ in runs(own, np.full(len(own), block)):
+                out.append((block, block, None, None, size // PART, raw[a:b].tobytes()))
+                size += b - a
             for a, b, to in runs(found, shard):
                 doc = int(owner[a])
-                out.append((to, block, doc, a - int(words.first[doc]), raw[a:b].tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "block", "ord", "start", "words"])
+                out.append((to, block, doc, a - int(words.first[doc]), None, raw[a:b].tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "block", "ord", "start", "part", "words"])
 
     return run_
 
 
+MATCHED = "shard long, run binary, a int, b int"
+
+
 def _match(length: int):
-    """Covered spans of a shard's runs, by the automaton of its passages."""
+    """Covered spans of a shard's distinct runs, by the automaton of some of its passages."""
 
     def run_(table):
         import pyarrow as pa
 
-        automaton, queries = Automaton(), []
-        for block, o, start, words in zip(*(table.column(c).to_pylist() for c in ("block", "ord", "start", "words")), strict=True):
-            if o is None:
+        automaton, queries, shard = Automaton(), [], table.column("shard")[0].as_py()
+        for run, words in zip(table.column("run").to_pylist(), table.column("words").to_pylist(), strict=True):
+            if run is None:
                 automaton.add(np.frombuffer(words, "<u8").tolist())
             else:
-                queries.append((block, o, start, words))
-        out = [(block, o, start + a, start + b) for block, o, start, words in queries for a, b in automaton.matches(np.frombuffer(words, "<u8").tolist(), length)]
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["block", "ord", "a", "b"])
+                queries.append((run, words))
+        out = [(run, a, b) for run, words in queries for a, b in automaton.matches(np.frombuffer(words, "<u8").tolist(), length)]
+        return pa.table([pa.array([shard] * len(out), pa.int64()), *[pa.array([r[i] for r in out], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.int32()))]], ["shard", "run", "a", "b"])
 
     return run_
 
@@ -337,7 +310,7 @@ def _kept(docs, spans):
     names = ["doc_id", "text", "n_words", "n_removed"]
     if not docs.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64())], names)
-    _, words = _words(docs)
+    _, words = blocks.words(docs)
     n = len(words.start)
     edge = np.zeros(n + 1, np.int64)
     for o, a, b in zip(*(spans.column(c).to_pylist() for c in ("ord", "a", "b")), strict=True):
@@ -370,17 +343,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> Dat
     if run > length:
         raise ValueError("run must not exceed length")
     bits = int(np.clip(int(np.log2(max(input_bytes(docs) // BUCKET_BYTES, 1))) + 1, 4, 24))
-    store = materialise(pick(docs, "doc_id", "text").mapInArrow(_store, STORE), "blocks")
-    blocks = store.groupBy("block")
+    store = blocks.store(pick(docs, "doc_id", "text"), BLOCK, "blocks")
+    by_block = store.groupBy("block")
     names = materialise(store.mapInArrow(_names(bits, length, run), ASK).groupBy("bucket").applyInArrow(_repeated(False), TELL), "names")
-    asked = blocks.cogroup(names.groupBy("block")).applyInArrow(_windows(bits, length, run), ASK)
-    told = names.unionByName(materialise(asked.groupBy("bucket").applyInArrow(_repeated(True), TELL), "windows"))
-    spans = materialise(blocks.cogroup(told.groupBy("block")).applyInArrow(_spans(bits, length, run), SPANS), "spans")
-    runs = spans.filter("ord IS NOT NULL")
-    load = runs.groupBy("shard").agg(F.sum(F.length("words") / 8).alias("n"))
-    load = small_side(materialise(load.select("shard", F.ceil(F.col("n") / STREAM).cast("int").alias("tasks")), "shards"))
-    runs = runs.join(load, "shard").withColumn("task", F.pmod(F.xxhash64("block", "ord", "start"), F.col("tasks")).cast("int"))
-    passages = spans.filter("ord IS NULL").join(load, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    both = runs.unionByName(passages).select("shard", "task", "block", "ord", "start", "words")
-    covered = materialise(both.groupBy("shard", "task").applyInArrow(_match(length), "block long, ord int, a int, b int"), "covered")
-    return blocks.cogroup(covered.groupBy("block")).applyInArrow(_kept, "doc_id long, text string, n_words long, n_removed long")
+    asked = by_block.cogroup(names.groupBy("block")).applyInArrow(_windows(bits, length, run), ASK)
+    found = materialise(asked.groupBy("bucket").applyInArrow(_repeated(True), TELL), "windows")
+    told = names.unionByName(found)
+    spans = materialise(by_block.cogroup(told.groupBy("block")).applyInArrow(_spans(bits, length, run), SPANS), "spans")
+    discard(names, found)
+    # runs of equal words are matched once, however many places have them
+    places = spans.filter("ord IS NOT NULL").withColumn("run", F.unhex(F.md5("words")))
+    runs = materialise(places.groupBy("shard", "run").agg(F.any_value("words").alias("words")), "runs")
+    passages = spans.filter("ord IS NULL").select("shard", F.lit(None).cast("binary").alias("run"), "part", "words")
+    parts = passages.groupBy("shard").agg((F.max("part") + 1).alias("parts"))
+    load = runs.groupBy("shard").agg(F.ceil(F.sum(F.length("words") / 8) / STREAM).cast("int").alias("tasks"))
+    load = materialise(load.join(parts, "shard"), "shards")
+    runs = salted_join(runs, load, ["shard"], "inner").withColumn("task", F.pmod(F.xxhash64("run"), F.col("tasks")).cast("int"))
+    runs = runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    passages = salted_join(passages, load, ["shard"], "inner").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    both = runs.unionByName(passages).select("shard", "task", "part", "run", "words")
+    matched = both.groupBy("shard", "task", "part").applyInArrow(_match(length), MATCHED)
+    matched = matched.groupBy("shard", "run").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    covered = salted_join(places.select("shard", "run", "block", "ord", "start"), materialise(matched, "matched"), ["shard", "run"], "inner")
+    covered = covered.select("block", "ord", "start", F.explode("spans").alias("s"))
+    covered = materialise(covered.select("block", "ord", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")), "covered")
+    discard(spans, load)
+    return by_block.cogroup(covered.groupBy("block")).applyInArrow(_kept, "doc_id long, text string, n_words long, n_removed long")
