@@ -56,7 +56,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n
+"""
+
+#: Words in rows; a window's key is its words joined by spaces, which no word holds.
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, len(ws) AS n, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT r, n, i, word, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS key FROM w),
+c AS (SELECT r, i, word, CASE WHEN i + 34 <= n AND count(*) FILTER (i + 34 <= n) OVER (PARTITION BY key) > 1 THEN 1 ELSE 0 END AS again FROM k),
+g AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+s AS (SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
 """
 
 QUERIES = {
@@ -74,4 +85,4 @@ QUERIES = {
         op10_simhash_dedup,
     )
 }
-SQL = {"op3_mixing": mixing.MIX_SQL, "op6_exact_dedup": OP6_SQL}
+SQL = {"op2_substring_dedup": OP2_SQL, "op3_mixing": mixing.MIX_SQL, "op6_exact_dedup": OP6_SQL}
