@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .text import U64, Words, grouped
-from .workspace import materialise
+from .workspace import materialise, written_bytes
 
 SCHEMA = "block long, doc_id array<bigint>, held_out array<boolean>, size array<int>, texts binary"
 
@@ -68,6 +68,11 @@ def store(docs: DataFrame, budget: int, name: str) -> DataFrame:
     return materialise(docs.mapInArrow(run, SCHEMA), name)
 
 
+def bucket_bits(table: DataFrame, bucket_bytes: int) -> int:
+    """Bits that name a bucket if each has about ``bucket_bytes`` of a ``store``'s text, which takes a third of its bytes there."""
+    return int(np.clip(int(np.log2(max(3 * written_bytes(table) // bucket_bytes, 1))) + 1, 4, 24))
+
+
 def words(table, row: int = 0, lower: bool = False) -> tuple[int, Words]:
     """A stored block's number and the words of its texts."""
     import pyarrow as pa

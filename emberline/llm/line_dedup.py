@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import BASE, BYTE_VALUE, U64, give_back, grouped, mix, power_table
-from .workspace import discard, input_bytes, materialise, pick, salted_join, small_side
+from .workspace import discard, materialise, pick, salted_join, small_side, written_bytes
 
 MIN_CHARS = 20
 BUDGET = 2 << 20
-#: Bytes of input for each bucket of variants.
-BUCKET_BYTES = 1 << 20
+#: Bytes of written lines for each bucket of their variants, which take some hundred times as much.
+BUCKET_BYTES = 4 << 10
 LINES = "d long, t long, line_no int, h binary, keys array<long>"
 
 
@@ -222,7 +222,6 @@ def removed_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
     ``docs`` has d (id), t (hash of the text) and text.
     """
-    buckets = int(min(max(input_bytes(docs) // BUCKET_BYTES, 32), 1 << 20))
     lines = materialise(docs.mapInArrow(_lines(least), LINES), "lines")
     place = F.struct("d", "t", "line_no")
     distinct = materialise(lines.groupBy("h").agg(F.min(place).alias("first"), F.any_value("keys").alias("keys"), F.count("*").alias("n")), "distinct-lines")
@@ -232,6 +231,7 @@ def removed_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     named = close.groupBy("first.d", "first.t").agg(F.collect_list(F.struct("h", F.col("first.line_no").alias("line_no"))).alias("named"))
     named_table = materialise(named, "named-lines")
     texts = materialise(docs.join(small_side(named_table), ["d", "t"]).select("d", "t", "named", "text").mapInArrow(_texts, "h binary, d long, t long, line_no int, line binary"), "close-lines")
+    buckets = int(min(max(written_bytes(texts) // BUCKET_BYTES, 32), 1 << 20))
     dealt = texts.select("d", "t", "line_no", "line").mapInArrow(_variants(buckets), "bucket int, entries binary, lines binary")
     pairs = dealt.groupBy("bucket").applyInArrow(_earliest, "d long, t long, line_no int, d2 long, t2 long, line_no2 int").distinct()
     other = texts.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("line_no").alias("line_no2"), F.col("line").alias("line2"))

@@ -29,7 +29,7 @@ from . import blocks
 from .blocks import packed, packed_keys, unpacked, unpacked_keys
 from .labelled import remainder
 from .text import U64, Words, give_back, mix
-from .workspace import discard, input_bytes, materialise, pick
+from .workspace import discard, materialise, pick
 
 BLOCK = 8 << 20
 BUCKET_BYTES = 2 << 20
@@ -297,9 +297,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, mixture: float = LAMBD
     spark = docs.sparkSession
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
     docs = pick(docs, "doc_id", "text").withColumn("held_out", held_out)
-    bits = int(np.clip(int(np.log2(max(input_bytes(docs) // BUCKET_BYTES, 1))) + 1, 4, 24))
-    token_bits = max(bits - 3, 4)
     store = blocks.store(docs, BLOCK, "lm-store")
+    bits = blocks.bucket_bits(store, BUCKET_BYTES)
+    token_bits = max(bits - 3, 4)
     by_block = store.groupBy("block")
     built = materialise(store.mapInArrow(_pairs(bits), PAIRS).groupBy("bucket").applyInArrow(_filter(bits), FILTERS), "lm-filters")
     owners = built.filter("block >= 0").select("block", "bucket", "levels").groupBy("block")

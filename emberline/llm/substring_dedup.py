@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import blocks
 from .blocks import packed, unpacked
 from .text import U64, Words, sequence_hashes
-from .workspace import discard, input_bytes, materialise, pick, salted_join
+from .workspace import discard, materialise, pick, salted_join
 
 #: Fixed value of the task: words in a window.
 LENGTH = 35
@@ -39,8 +39,8 @@ LENGTH = 35
 RUN = 20
 BLOCK = 2 << 20
 BUCKET_BYTES = 1 << 20
-#: Words streamed by one task through a part of a shard, words of such a part, and most windows of a run.
-STREAM, PART, PIECE = 1_000_000, 300_000, 50_000
+#: Least words streamed by one task through a part of a shard, words of such a part, and most windows of a run.
+STREAM, PART, PIECE = 20_000, 300_000, 50_000
 
 
 class Automaton:
@@ -342,8 +342,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> Dat
     """
     if run > length:
         raise ValueError("run must not exceed length")
-    bits = int(np.clip(int(np.log2(max(input_bytes(docs) // BUCKET_BYTES, 1))) + 1, 4, 24))
     store = blocks.store(pick(docs, "doc_id", "text"), BLOCK, "blocks")
+    bits = blocks.bucket_bits(store, BUCKET_BYTES)
     by_block = store.groupBy("block")
     names = materialise(store.mapInArrow(_names(bits, length, run), ASK).groupBy("bucket").applyInArrow(_repeated(False), TELL), "names")
     asked = by_block.cogroup(names.groupBy("block")).applyInArrow(_windows(bits, length, run), ASK)
@@ -355,9 +355,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> Dat
     places = spans.filter("ord IS NOT NULL").withColumn("run", F.unhex(F.md5("words")))
     runs = materialise(places.groupBy("shard", "run").agg(F.any_value("words").alias("words")), "runs")
     passages = spans.filter("ord IS NULL").select("shard", F.lit(None).cast("binary").alias("run"), "part", "words")
-    parts = passages.groupBy("shard").agg((F.max("part") + 1).alias("parts"))
-    load = runs.groupBy("shard").agg(F.ceil(F.sum(F.length("words") / 8) / STREAM).cast("int").alias("tasks"))
-    load = materialise(load.join(parts, "shard"), "shards")
+    n = F.sum(F.length("words") / 8)
+    parts = passages.groupBy("shard").agg((F.max("part") + 1).alias("parts"), n.alias("held"))
+    # a task streams about as many words as its automaton holds, so that more tasks cost no more than twice as much
+    load = runs.groupBy("shard").agg(n.alias("streamed")).join(parts, "shard")
+    load = load.select("shard", "parts", F.ceil(F.col("streamed") / F.greatest(F.col("held") / F.col("parts"), F.lit(STREAM))).cast("int").alias("tasks"))
+    load = materialise(load, "shards")
     runs = salted_join(runs, load, ["shard"], "inner").withColumn("task", F.pmod(F.xxhash64("run"), F.col("tasks")).cast("int"))
     runs = runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     passages = salted_join(passages, load, ["shard"], "inner").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))

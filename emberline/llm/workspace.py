@@ -114,11 +114,6 @@ def shared(broadcast):
     return pickle.loads(broadcast.value)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the bytes that ``df`` reads; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a table's extra columns never meet ours."""
     return df.select(*[df[f"`{n}`"] for n in names])
