@@ -32,7 +32,7 @@ from .text import U64, Words, give_back, mix
 from .workspace import discard, materialise, pick
 
 BLOCK = 8 << 20
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
 #: Bits of a filter for each level of a pair, and its probes.
 BITS, PROBES = 10, 5
 LAMBDA = 0.4

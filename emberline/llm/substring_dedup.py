@@ -38,7 +38,7 @@ LENGTH = 35
 #: Words of the runs that name a window.
 RUN = 20
 BLOCK = 2 << 20
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 32 << 20
 #: Least words streamed by one task through a part of a shard, words of such a part, and most windows of a run.
 STREAM, PART, PIECE = 20_000, 300_000, 50_000
 
