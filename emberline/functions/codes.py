@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 DAYS_IN_YEAR = 365.0
-FIRST_YEAR, LAST_YEAR = 1984, 2022
+FIRST_YEAR = 1984
 WINDOW_YEARS = 38
 SQ_M_TO_ACRES = 0.0002471054
 
@@ -32,7 +32,12 @@ def eco_levels(code: Column) -> list[Column]:
 
 
 def flag(value: Column) -> Column:
-    return (value > 0).cast("tinyint")
+    """1 above zero, else 0, null too."""
+    return F.coalesce(value > 0, F.lit(False)).cast("tinyint")
+
+
+def days_since_epoch(date: Column) -> Column:
+    return F.unix_date(F.to_date(date))
 
 
 def whole_days(a: Column, b: Column) -> Column:

@@ -65,6 +65,11 @@ def centre_y(cell: Column) -> Column:
     return (row_of(cell) * -CELL + TOP - CELL // 2).cast("double")
 
 
+def geometry_of(cell: Column) -> Column:
+    """The cell's centre as a point."""
+    return F.struct(centre_x(cell).alias("x"), centre_y(cell).alias("y"))
+
+
 def to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
     """Inverse Albers: degrees of longitude and latitude of grid coordinates."""
     dy = F.lit(RHO0) - y

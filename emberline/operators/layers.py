@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import survival_days
+from .spatial import near_buckets
 
 
 def attach(points: DataFrame, layer: DataFrame, name: str, on: str | list[str] = "geohash", how: str = "inner") -> DataFrame:
@@ -91,19 +93,72 @@ def dominant_slope(dem: DataFrame, cell: float = 30.0) -> DataFrame:
     weight = F.when((F.col("i") == 0) | (F.col("j") == 0), 2).otherwise(1)
     sums = spread.groupBy("row", "col").agg(F.count("*").alias("n"), (F.sum(F.col("j") * weight * F.col("z")) / (8 * cell)).alias("dx"), (F.sum(F.col("i") * weight * F.col("z")) / (8 * cell)).alias("dy"), F.max(((F.col("i") == 0) & (F.col("j") == 0)).cast("int")).alias("own"))
     full = sums.filter("n = 9 AND own = 1")
+    return full.select("row", "col", *_slope_aspect())
+
+
+def proximity(cells: DataFrame, targets: DataFrame, cap: float = 70_000.0, cell: float = 30.0, bucket: int = 32) -> DataFrame:
+    """Distance in metres from each cell (row, col) to the nearest target, at most ``cap``.
+
+    Cells meet only the targets in the buckets that can hold the nearest one.
+    """
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.select("row", "col", F.floor(F.col("row") / bucket).cast("int").alias("br"), F.floor(F.col("col") / bucket).cast("int").alias("bc"))
+
+    c, t = dealt(cells), dealt(targets)
+    levels = max(1, math.ceil(math.log2(cap / (cell * bucket))) + 1)
+    t = t.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.col("br").alias("nr"), F.col("bc").alias("nc"))
+    dr, dc = F.col("row") - F.col("tr"), F.col("col") - F.col("tc")
+    near = near_buckets(c, t.select(F.col("nr").alias("br"), F.col("nc").alias("bc")), levels)
+    found = c.join(near, ["br", "bc"]).join(t, ["nr", "nc"]).groupBy("row", "col").agg(F.min(dr * dr + dc * dc).alias("d2"))
+    return cells.join(found, ["row", "col"], "left").select("row", "col", F.least(F.lit(cap), F.coalesce(F.sqrt("d2") * cell, F.lit(cap))).cast("int").alias("proximity"))
+
+
+def slope_with_edges(dem: DataFrame, cell: float = 30.0) -> DataFrame:
+    """``dominant_slope`` of every cell: a missing neighbour is carried on from the two cells beside it, or is the cell itself."""
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
+    spread = dem.select(F.explode(near).alias("o"), (F.col("row") - F.col("o.i")).alias("row"), (F.col("col") - F.col("o.j")).alias("col"), "z")
+    z = {(i, j): F.max(F.when((F.col("o.i") == i) & (F.col("o.j") == j), F.col("z"))).alias(f"z{i + 1}{j + 1}") for i, j in steps}
+    wide = spread.groupBy("row", "col").agg(*z.values()).filter("z11 IS NOT NULL")
+
+    def at(i: int, j: int) -> Column:
+        return F.col(f"z{i + 1}{j + 1}")
+
+    filled = {}
+    for i, j in sorted(steps, key=lambda s: abs(s[0]) + abs(s[1])):
+        tries = [at(i, j)]
+        if i:
+            tries.append(at(0, j) * 2 - at(-i, j))
+        if j:
+            tries.append(at(i, 0) * 2 - at(i, -j))
+        # a corner without any of these lies on the plane of the two sides
+        filled[i, j] = F.coalesce(*tries, filled[i, 0] + filled[0, j] - at(0, 0) if i and j else at(0, 0))
+    weight = {(i, j): 1 if i and j else 2 for i, j in steps}
+    dx = sum((filled[i, j] * (j * weight[i, j]) for i, j in steps if j), F.lit(0.0)) / (8 * cell)
+    dy = sum((filled[i, j] * (i * weight[i, j]) for i, j in steps if i), F.lit(0.0)) / (8 * cell)
+    return wide.select("row", "col", dx.alias("dx"), dy.alias("dy")).select("row", "col", *_slope_aspect())
+
+
+def _slope_aspect() -> list[Column]:
     slope = F.degrees(F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))))
     turn = F.degrees(F.atan2(F.col("dy"), -F.col("dx")))
     aspect = F.when((F.col("dx") == 0) & (F.col("dy") == 0), -1.0).when(turn > 90, 450.0 - turn).otherwise(90.0 - turn)
-    return full.select("row", "col", slope.alias("slope"), aspect.alias("aspect"))
+    return [slope.alias("slope"), aspect.alias("aspect")]
 
 
-def proximity(cells: DataFrame, targets: DataFrame, cap: float = 70_000.0, cell: float = 30.0, bucket: int = 256) -> DataFrame:
-    """Distance in metres from each cell (row, col) to the nearest target, at most ``cap``; rings of buckets bound the search."""
-    reach = int(cap // (cell * bucket)) + 1
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    t = targets.select(F.col("row").alias("tr"), F.col("col").alias("tc"), F.floor(F.col("row") / bucket).alias("br"), F.floor(F.col("col") / bucket).alias("bc"))
-    wide = cells.select("row", "col", F.explode(steps).alias("i")).select("row", "col", "i", F.explode(steps).alias("j"))
-    wide = wide.select("row", "col", (F.floor(F.col("row") / bucket) + F.col("i")).alias("br"), (F.floor(F.col("col") / bucket) + F.col("j")).alias("bc"))
-    dr, dc = F.col("row") - F.col("tr"), F.col("col") - F.col("tc")
-    found = wide.join(t, ["br", "bc"]).groupBy("row", "col").agg(F.min(dr * dr + dc * dc).alias("d2"))
-    return cells.join(found, ["row", "col"], "left").select("row", "col", F.least(F.lit(cap), F.coalesce(F.sqrt("d2") * cell, F.lit(cap))).cast("int").alias("proximity"))
+def resample(cells: DataFrame, source: DataFrame, row: Column, col: Column) -> DataFrame:
+    """Nearest value of a source grid (row, col, value) for each cell; ``row`` and ``col`` are the source's, from the cell's centre."""
+    at = cells.withColumn("_row", row.cast("long")).withColumn("_col", col.cast("long"))
+    s = source.select(F.col("row").cast("long").alias("_row"), F.col("col").cast("long").alias("_col"), "value")
+    return at.join(s, ["_row", "_col"]).drop("_row", "_col")
+
+
+def survival_onwards(previous: DataFrame, events: DataFrame, key: str, date: str, start: int, end: int) -> tuple[DataFrame, DataFrame]:
+    """(key, dse) of the last events before ``end`` and (key, st) on its 1 January, from the last ones of an earlier year.
+
+    ``previous`` has every cell, with null dse where nothing has happened since ``start``.
+    """
+    new = events.filter(F.year(date) < end).select(key, F.unix_date(F.to_date(date)).alias("dse"))
+    now = latest(previous, new, key, "dse")
+    return now, now.select(key, survival_days(F.date_from_unix_date("dse"), start, end).alias("st"))

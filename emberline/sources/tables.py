@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,28 @@ def read_tables(spark: SparkSession, paths: list[str], rename: dict[str, str] |
 def read_yearly(spark: SparkSession, path: str, first: int) -> DataFrame:
     """Files named with a 4-digit year, with that year as a column, from ``first`` on."""
     df = spark.read.parquet(path).withColumn("year", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).try_cast("int"))
-    return df.filter(F.col("year") >= first)
+    df = df.filter(F.col("year") >= first)
+    if df.isEmpty():
+        raise FileNotFoundError(f"no rows of {first} or later in {path}")
+    return df
+
+
+def paired(years: list[int], paths: list[str]) -> list[tuple[int, str]]:
+    """Years with the paths that name them; each year must have exactly one."""
+    named = {}
+    for path in sorted(paths):
+        found = re.search(r"(\d{4})", os.path.basename(path))
+        if found is None or int(found.group(1)) in named:
+            raise ValueError(f"{path} names no year or one that has a path already")
+        named[int(found.group(1))] = path
+    if sorted(named) != sorted(years):
+        raise ValueError(f"paths are of {sorted(named)}, wanted {sorted(years)}")
+    return [(y, named[y]) for y in sorted(years)]
+
+
+def described(df: DataFrame, column: str, text: str) -> DataFrame:
+    """``df`` with a comment on a column; only metadata changes."""
+    return df.withColumn(column, F.col(column).alias(column, metadata={"comment": text}))
 
 
 def tile_points(tiles: DataFrame) -> DataFrame:

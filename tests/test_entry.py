@@ -25,7 +25,7 @@ def rows(frame):
     return cols, sorted(map(tuple, text.to_numpy().tolist()))
 
 
-@pytest.mark.parametrize("name", ["hist_gap_weighted", "event_history_hist", "pair_gaps", "survival_last_event", "spatial_within_boxes", "truncated_days_vs_events", "entity_mode"])
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_query_equals_sql(spark, duck, name):
     assert rows(CORE[name](spark, SF).toPandas()) == rows(duck.execute(__spark_entry__.oracle_sql()[name]).df())
 
