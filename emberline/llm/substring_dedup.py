@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import packed, unpacked
-from .text import U64, Words, sequence_hashes
+from .text import U64, Words, mix, sequence_hashes
 from .workspace import discard, materialise, pick, salted_join
 
 #: Fixed value of the task: words in a window.
@@ -198,10 +198,13 @@ def _places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _name_keys(h: np.ndarray, valid: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the windows that start at each word, and a block's names as it asks for them."""
+    """Names of the windows that start at each word, and a block's names as it asks for them.
+
+    Names are least hashes, so they are mixed anew to spread evenly over buckets.
+    """
     names, chosen = window_names(h, valid, length, run)
     runs = sequence_hashes(h, run)
-    return names, runs[chosen[chosen < len(runs)]]
+    return mix(names), mix(runs[chosen[chosen < len(runs)]])
 
 
 def _candidates(words: Words, told, bits: int, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
