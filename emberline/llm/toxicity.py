@@ -131,7 +131,7 @@ def _count(batches):
         new[back[: len(keys)]] += sums
         np.add.at(new, (back[len(keys) :], column[once]), 1)
         keys, sums = both, new
-    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(c.copy()) for c in sums.T]], ["token", *COUNTS])
+    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(c.astype(np.int32)) for c in sums.T]], ["token", *COUNTS])
 
 
 class Model:
@@ -202,13 +202,20 @@ def fit(docs: DataFrame, labels: DataFrame, fold, per_class: int = PER_CLASS) ->
     toxic_share = known.agg(F.avg("toxic").alias("s")).first()["s"] or 0.05
     rows = training_rows(docs, sample(labels, "toxic", fold, per_class)).withColumn("part", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(PARTS)).cast("int"))
     rows = materialise(rows, "toxic-sample")
-    counts = rows.mapInArrow(_count, ", ".join(["token long", *[f"{c} double" for c in COUNTS]])).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    counts = counts.toPandas().sort_values("token", key=lambda t: t.to_numpy().astype(np.int64).view(U64))  # of at most 2 * per_class documents
-    hashes = counts["token"].to_numpy().astype(np.int64).view(U64)
-    parts = counts[COUNTS].to_numpy(float).reshape(-1, PARTS, 2)
+    counts = rows.mapInArrow(_count, ", ".join(["token long", *[f"{c} int" for c in COUNTS]])).groupBy("token").agg(*[F.sum(c).cast("int").alias(c) for c in COUNTS])
+    counts = counts.toArrow()  # of at most 2 * per_class documents
+    hashes = counts.column("token").to_numpy().view(U64)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    parts = np.stack([counts.column(c).to_numpy()[order] for c in COUNTS], 1).reshape(-1, PARTS, 2)
+    del counts, order
     whole = parts.sum(1)
-    model = Model(hashes, weights(whole[:, 1], whole[:, 0]))
-    cross = [Model(hashes, weights(*(whole - parts[:, k]).T[::-1])) for k in range(PARTS)]
+
+    def fitted(of: np.ndarray) -> Model:
+        return Model(hashes, weights(of[:, 1].astype(float), of[:, 0].astype(float)))
+
+    model, cross = fitted(whole), [fitted(whole - parts[:, k]) for k in range(PARTS)]
+    del parts, whole
     seen = rows.mapInArrow(_crosswise(share(spark, cross)), "n long, scores array<double>, y int").collect()
     discard(rows)
     if seen:
