@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberline.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity
+from emberline.llm import exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity
 from emberline.llm.text import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -316,6 +316,49 @@ def test_near_dedup_large_group(spark):
     assert sorted(r.doc_id for r in got) == [0, *alone]
 
 
+@pytest.mark.parametrize("pairs, block", [(near_dedup.ALL_PAIRS, near_dedup.BLOCK), (2, 5)])
+def test_near_dedup_chains(spark, monkeypatch, pairs, block):
+    """Chains under shared keys, each text near the one before and far from the rest, are the groups that all pairs give."""
+    monkeypatch.setattr(near_dedup, "ALL_PAIRS", pairs)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(3):
+        words = [f"v{rng.randrange(5000)}" for _ in range(300)]
+        for k in range(50):
+            words = [w if rng.random() > (0.06 if k % 10 == 0 else 0.008) else f"z{rng.randrange(10**6)}" for w in words]
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [[j for j, s in enumerate(sets) if 5 * len(s & x) >= 4 * len(s | x)] for x in sets]
+    least = list(range(len(rows)))
+    for _ in rows:
+        least = [min(least[j] for j in js) for js in near]
+    assert 3 < len(set(least)) < len(rows) / 2
+    got = near_dedup.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(least))
+
+
+def test_near_dedup_joining():
+    """Links of a block join what all its links join, and none joins a component to itself."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 14, 9).astype(np.uint64)) for _ in range(60)]
+    roots = [k // 3 for k in range(60)]
+    left, right = list(range(25)), list(range(20, 60))
+
+    def groups(pairs):
+        least = list(roots)
+        for _ in range(60):
+            for i, j in pairs:
+                m = min(least[i], least[j])
+                least = [m if x in (least[i], least[j]) else x for x in least]
+        return least
+
+    found = near_dedup.joining(sets, roots, left, right, 0.8)
+    whole = [(i, j) for i in left for j in right if near_dedup.similarity(sets[i], sets[j]) >= 0.8]
+    assert groups(found) == groups(whole)
+    assert len(found) == len(set(roots)) - len(set(groups(whole)))
+
+
 def test_short_lines(spark):
     """Equal lines go at any length, blank ones stay, and short ones need to be equal."""
     texts = ["Menu\n\nRead more\n  ", "Read more\n\nread more\nMenu\n  ", "Menu\nMenus\n" + "x" * 19, "x" * 19 + "\n" + "x" * 18 + "\n" + "x" * 20]
