@@ -25,6 +25,8 @@ from .workspace import discard, materialise, pick, salted_join, small_side, writ
 
 MIN_CHARS = 20
 BUDGET = 2 << 20
+#: Bytes of lines whose variants are made at once, which take some fifty times as much, and most lines.
+AT_ONCE, LINES_AT_ONCE = 512 << 10, 2000
 #: Bytes of written lines for each bucket of their variants, which take some hundred times as much.
 BUCKET_BYTES = 4 << 10
 LINES = "d long, t long, line_no int, h binary, keys array<long>"
@@ -119,6 +121,19 @@ ORDER = np.dtype([("d", "<i8"), ("t", "<i8"), ("n", "<i4")])
 ENTRY = np.dtype([("key", "<u8"), ("kind", "u1"), ("line", "<u4")])
 
 
+def _portions(batch):
+    """Slices of an Arrow batch of lines, of at most ``LINES_AT_ONCE`` rows and, beyond one row, ``AT_ONCE`` bytes."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        done = size[a - 1] if a else 0
+        b = min(max(int(np.searchsorted(size, done + AT_ONCE, "right")), a + 1), a + LINES_AT_ONCE)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _variants(buckets: int):
     """Variants of lines by bucket of keys: entries, and the lines they name."""
 
@@ -126,8 +141,7 @@ def _variants(buckets: int):
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                rows = batch.slice(a, 2000)
+            for rows in _portions(batch):
                 table = np.zeros(rows.num_rows, ORDER)
                 for name, column in (("d", "d"), ("t", "t"), ("n", "line_no")):
                     table[name] = rows.column(column).to_numpy()
@@ -186,6 +200,8 @@ def _earliest(table):
     back[rank] = np.arange(n)
     a, b = rows[pairs[:, 0]], rows[back[pairs[:, 1]]]
     columns = [x[f] for x in (a, b) for f in ("d", "t", "n")]
+    del e, entries, order, kind, line, r, group
+    give_back()
     return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], ["d", "t", "line_no", "d2", "t2", "line_no2"])
 
 

@@ -27,9 +27,9 @@ from .workspace import pick
 
 #: Fixed values of the task: ids in a sequence, and the id after each document.
 CAPACITY, END_ID = 4096, 2
-BUDGET = 2 << 20
+BUDGET = 1 << 20
 #: Pieces of text that a worker remembers, and ids of theirs, after which it begins anew.
-REMEMBERED, REMEMBERED_IDS = 500_000, 16 << 20
+REMEMBERED, REMEMBERED_IDS = 300_000, 4 << 20
 #: Words of letters that are encoded as one text.
 JOINED = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -116,6 +116,8 @@ def text_column(batch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+#: Rows of an Arrow batch that are turned into Python objects at once.
+ROWS_AT_ONCE = 512
 #: Groups of texts after which a task gives freed memory back.
 TRIM_EVERY = 16
 
@@ -138,7 +140,7 @@ def grouped(batches, budget: int, columns: list[str]):
     texts: list[bytes] = []
     rest: dict[str, list] = {c: [] for c in columns}
     size = groups = 0
-    for batch in batches:
+    for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
         values = {c: batch.column(c).to_pylist() for c in columns}
         for i, t in enumerate(text_column(batch)):
             if texts and size + len(t) > budget:

@@ -320,3 +320,14 @@ def test_pipeline_ids(spark):
         mine = [r for r in pieces if r.doc_id == doc and r.doc_tokens == len(ids)]
         assert sum(list(ids[r.start : r.start + r.length]) == r.ids for r in mine) * 1 >= n
         assert sum(r.length for r in mine) >= n * len(ids)
+
+
+def test_portions():
+    """Portions of lines are whole, in order, and bounded unless of one line."""
+    import pyarrow as pa
+
+    lines = [b"x" * n for n in (0, 5, line_dedup.AT_ONCE + 1, 0, line_dedup.AT_ONCE, 1, 0)] + [b"y"] * (line_dedup.LINES_AT_ONCE + 3)
+    for some in (lines, lines[2:3], []):
+        parts = [p.column("line").to_pylist() for p in line_dedup._portions(pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["line"]))]
+        assert [x for p in parts for x in p] == some and all(parts)
+        assert all(len(p) == 1 or (len(p) <= line_dedup.LINES_AT_ONCE and sum(map(len, p)) <= line_dedup.AT_ONCE) for p in parts)
