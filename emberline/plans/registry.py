@@ -253,11 +253,6 @@ def grid_lonlat(spark, d):
     return c.select("cell", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-def _boxes(spark, d):
-    s = F.col("s_suppkey").cast("int")
-    return table(spark, d, "supplier").select(s.alias("id"), ((s * 7) % 30).alias("x0"), ((s * 11) % 30).alias("y0"), (2 + s % 9).alias("w"), (2 + s % 5).alias("h")).filter("id <= 40")
-
-
 def _box_edges(boxes):
     x0, y0 = F.col("x0").cast("double"), F.col("y0").cast("double")
     x1, y1 = x0 + F.col("w"), y0 + F.col("h")
@@ -265,26 +260,6 @@ def _box_edges(boxes):
     return boxes.select("id", F.explode(sides).alias("s")).select("id", "s.*")
 
 
-def _points(spark, d):
-    c = F.col("c_custkey")
-    return table(spark, d, "customer").select(c.alias("pid"), (F.floor(c / 40) % 40).cast("int").alias("row"), (c % 40).cast("int").alias("col"))
-
-
-def spatial_within_boxes(spark, d):
-    return spatial.within(_points(spark, d), spatial.scanline_runs(_box_edges(_boxes(spark, d)))).select("pid", "id")
-
-
-def rasterize_boxes_latest(spark, d):
-    return spatial.rasterize(spatial.scanline_runs(_box_edges(_boxes(spark, d))), "id")
-
-
-def spatial_nearest_orphan(spark, d):
-    edges = _box_edges(_boxes(spark, d).filter("id <= 5"))
-    p, runs = _points(spark, d), spatial.scanline_runs(edges)
-    lost = layers.orphans(p, spatial.within(p, runs), "pid")
-    return spatial.nearest(lost, edges, "pid")
-
-
 def _spread(spark, d):
     """Boxes of all suppliers and points of all customers, on a grid whose area grows with the suppliers."""
     n = table(spark, d, "supplier").agg(F.ceil(F.sqrt(F.lit(22.5) * F.count("*"))).cast("long").alias("side"))
@@ -335,9 +310,6 @@ def truncated_days_vs_all_values(spark, d):
     return _truncated_days(table(spark, d, "events").filter("event_type IN ('error', 'purchase')"))
 
 
-BOXES = """b AS (SELECT CAST(s_suppkey AS INT) AS id, CAST(s_suppkey * 7 % 30 AS INT) AS x0, CAST(s_suppkey * 11 % 30 AS INT) AS y0, CAST(2 + s_suppkey % 9 AS INT) AS w, CAST(2 + s_suppkey % 5 AS INT) AS h FROM supplier WHERE s_suppkey <= 40),
-p AS (SELECT c_custkey AS pid, CAST((c_custkey // 40) % 40 AS INT) AS "row", CAST(c_custkey % 40 AS INT) AS col FROM customer),
-cells AS (SELECT id, CAST(y0 + i AS INT) AS "row", CAST(x0 + j AS INT) AS col FROM b, range(0, 20) r(i), range(0, 20) c(j) WHERE i < h AND j < w)"""
 ALL_BOXES = """k AS (SELECT CAST(ceil(sqrt(22.5 * count(*))) AS BIGINT) AS side FROM supplier),
 b AS (SELECT CAST(s_suppkey AS INT) AS id, CAST(s_suppkey * 7919 % (side * side) % side AS INT) AS x0, CAST(s_suppkey * 7919 % (side * side) // side AS INT) AS y0, CAST(2 + s_suppkey % 9 AS INT) AS w, CAST(2 + s_suppkey % 5 AS INT) AS h FROM supplier, k),
 p AS (SELECT c_custkey AS pid, CAST(c_custkey * 7919 % ((side + 10) * (side + 10)) // (side + 10) AS INT) AS "row", CAST(c_custkey * 7919 % ((side + 10) * (side + 10)) % (side + 10) AS INT) AS col FROM customer, k),
@@ -383,11 +355,6 @@ SQL = {
     "grid_encode_roundtrip": f"WITH {CELLS} SELECT c_custkey, i, j, cell AS back FROM g",
     "grid_xy": f"WITH {CELLS} SELECT cell, x, y FROM g",
     "grid_lonlat": LONLAT,
-    "spatial_within_boxes": f'WITH {BOXES} SELECT pid, id FROM p JOIN cells ON cells."row" = p."row" AND cells.col = p.col',
-    "rasterize_boxes_latest": f'WITH {BOXES} SELECT "row", col, max(id) AS id FROM cells GROUP BY 1, 2',
-    "spatial_nearest_orphan": f"""WITH {BOXES}, o AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM cells WHERE id <= 5 AND cells."row" = p."row" AND cells.col = p.col)),
-d AS (SELECT pid, id, greatest(x0 - col - 0.5, col + 0.5 - x0 - w, 0) ** 2 + greatest(y0 - "row" - 0.5, "row" + 0.5 - y0 - h, 0) ** 2 AS d2 FROM o, b WHERE id <= 5)
-SELECT pid, id FROM (SELECT *, rank() OVER (PARTITION BY pid ORDER BY d2) AS k FROM d) WHERE k = 1""",
     "spatial_within_all_boxes": f'WITH {ALL_BOXES} SELECT pid, id FROM p JOIN cells ON cells."row" = p."row" AND cells.col = p.col',
     "rasterize_all_boxes_latest": f'WITH {ALL_BOXES} SELECT "row", col, max(id) AS id FROM cells GROUP BY 1, 2',
     "spatial_nearest_all_boxes": f"""WITH {ALL_BOXES}, o AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM cells WHERE cells."row" = p."row" AND cells.col = p.col)),

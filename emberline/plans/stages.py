@@ -12,7 +12,7 @@ from ..functions import codes, grid
 from ..operators import distribution as dist
 from ..operators import layers, prepare, recurrence, spatial
 from . import extract
-from .registry import ALL_BOXES, CELLS, LONLAT, O, PAIRS, _box_edges, _cells, _gaps, _points, _spread, grid_lonlat, table
+from .registry import ALL_BOXES, CELLS, LONLAT, O, PAIRS, _box_edges, _cells, _gaps, _spread, grid_lonlat, table
 
 
 def columns_tidy(spark, d):
