@@ -22,14 +22,14 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .text import Words, grouped, span_hashes
+from .text import U64, Words, grouped, span_hashes
 from .workspace import pick
 
 #: Fixed values of the task: ids in a sequence, and the id after each document.
 CAPACITY, END_ID = 4096, 2
 BUDGET = 1 << 20
 #: Pieces of text that a worker remembers, and ids of theirs, after which it begins anew.
-REMEMBERED, REMEMBERED_IDS = 300_000, 4 << 20
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 4 << 20
 #: Words of letters that are encoded as one text.
 JOINED = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -74,7 +74,8 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys = np.empty(0, U64)  # ascending
+        self.place = np.empty(0, np.int64)
         self.ids = np.full(1 << 16, self.end_id, np.uint32)  # the first is the end
         self.used = 1
 
@@ -87,38 +88,45 @@ class Tokens:
         data[upper] += 32
         return data
 
-    def learn(self, keys: list[int], parts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        """Encode the parts and keep their ids."""
         letters = [self.marked and p.isalpha() for p in parts]
         words = [i for i, yes in enumerate(letters) if yes]
         single = [i for i, yes in enumerate(letters) if not yes]
         groups = [words[a : a + JOINED] for a in range(0, len(words), JOINED)]
-        joined = self.tokenizer.encode_batch([" ".join([parts[i] for i in g]) for g in groups], add_special_tokens=False)
+        joined = self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in g]) for g in groups], add_special_tokens=False)
+        whole, found, sizes = [], [], []
         for group, encoded in zip(groups, joined, strict=True):
             ids = np.array(encoded.ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group):  # every word is one word to the tokenizer too
-                self.store([keys[i] for i in group], ids, ends)
+                whole += group
+                found.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
             else:
                 single += group
-        alone = [e.ids for e in self.tokenizer.encode_batch([parts[i] for i in single], add_special_tokens=False)]
-        if alone:
-            self.store([keys[i] for i in single], np.array([x for ids in alone for x in ids], np.uint32), np.cumsum(list(map(len, alone))))
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([parts[i] for i in single], add_special_tokens=False)]
+        found.append(np.array([x for ids in alone for x in ids], np.uint32))
+        sizes.append(np.array(list(map(len, alone)), np.int64))
+        self.store(keys[whole + single], np.concatenate(found), np.cumsum(np.concatenate(sizes)))
 
-    def store(self, keys: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Keep the ids of several parts, which end at ``ends``."""
+    def store(self, keys, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids of several parts not kept yet, which end at ``ends``."""
         need = self.used + len(ids)
         if need > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.used], np.zeros(need, np.uint32)))
         self.ids[self.used : need] = ids
-        lengths = ends.copy()
-        lengths[1:] -= ends[:-1]
-        # 31 bits for the offset, 32 for the length
-        self.place.update(zip(keys, ((self.used + ends - lengths) << 32 | lengths).tolist(), strict=True))
+        lengths = np.diff(ends, prepend=0)
+        place = (self.used + ends - lengths) << 32 | lengths  # 31 bits for the offset, 32 for the length
         self.used = need
+        keys = np.asarray(keys, U64)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.place = np.insert(self.keys, at, keys[order]), np.insert(self.place, at, place[order])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end after each text, and where each text's ids begin (one more than texts)."""
-        if len(self.place) > REMEMBERED or self.used > REMEMBERED_IDS:
+        if len(self.keys) > REMEMBERED or self.used > REMEMBERED_IDS:
             self.clear()
         odd = {i: t for i, t in enumerate(texts) if b"<|" in t and any(s in t for s in self.special)}
         words = Words([b"" if i in odd else t for i, t in enumerate(texts)])
@@ -129,12 +137,15 @@ class Tokens:
         end = np.sort(np.concatenate((words.end, cuts)))
         first = np.searchsorted(start, np.append(words.text_start, len(data)))
         unique, at, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        unknown = [i for i, k in enumerate(keys) if k not in self.place]
+        known = np.zeros(len(unique), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)] == unique
+        unknown, blob = np.flatnonzero(~known), data.tobytes()
         for a in range(0, len(unknown), 20_000):
             some = unknown[a : a + 20_000]
-            self.learn([keys[i] for i in some], [data[start[at[i]] : end[at[i]]].tobytes().decode("utf-8", "replace") for i in some])
-        place = np.fromiter((self.place[k] for k in keys), np.int64, len(keys))
+            spans = zip(start[at[some]].tolist(), end[at[some]].tolist(), strict=True)
+            self.learn(unique[some], [blob[x:y].decode("utf-8", "replace") for x, y in spans])
+        place = self.place[np.searchsorted(self.keys, unique)]
         place = np.insert(place[back], first[1:], 1)  # position 0, one id: the end
         offset, length = place >> 32, place & 0xFFFFFFFF
         total = np.concatenate(([0], np.cumsum(length)))
@@ -228,7 +239,7 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
         encoder = tokens(path, end_id)
         for texts, rest in grouped(batches, BUDGET, ["doc_id"]):
             ids, bounds = encoder.encode(texts)
-            ids = ids.astype("<u4")
+            ids = ids.astype("<u4", copy=False)
             for doc, a, b in zip(rest["doc_id"], bounds.tolist(), bounds[1:].tolist(), strict=False):
                 packer.add(doc, ids[a:b])
             yield batch()
