@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 ROWS_PER_FILE = 1_200_000
 ROOT_VARIABLE = "EMBERLINE_DATA"
 FRAME = "events_{aoi}_{year}"
+SHARED = "spark.checkpoint.dir"
 
 
 def root() -> str:
@@ -21,6 +24,17 @@ def frame_path(aoi: str, year: int | str) -> str:
     return f"{root()}/" + FRAME.format(aoi=aoi, year=year)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a local session (tests) that names none gets one."""
+    folder = spark.conf.get(SHARED, None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SHARED} to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="emberline-")
+        spark.conf.set(SHARED, folder)
+    return f"{folder.rstrip('/')}/emberline/{name}-{uuid.uuid4().hex}"
+
+
 def read_tables(spark: SparkSession, paths: list[str], rename: dict[str, str] | None = None, pattern: str | None = None) -> DataFrame:
     """Several Parquet tables as one; ``pattern`` chooses files of directories."""
     reader = spark.read.option("mergeSchema", "true")
