@@ -23,7 +23,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
+    """One document of each group of near-duplicates by SimHash and BK-trees: the one with the least doc_id."""
     return near_dedup.kept(docs)
 
 

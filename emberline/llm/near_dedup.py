@@ -1,15 +1,23 @@
-"""Near-duplicate documents: Jaccard similarity of five-word shingles of at least 0.8.
-
-Candidates are distinct contents that agree in a band of minima: every content has
-``BANDS`` keys, each the hash of ``ROWS`` minima of its shingles under different
+"""Near-duplicate documents by SimHash and BK-trees: Jaccard similarity of five-word shingles of at least 0.8.
+
+Every content (sequence of shingles) gets a SimHash fingerprint of 256 bits over its
+distinct shingles. Fingerprints are dealt into shards, each shard builds a BK-tree of
+its own and looks up in it what is at most ``RADIUS`` bits away; only such pairs are
+candidates. A pair of similarity 0.8 differs by 38 bits on average (48 at most, for 4
+and 5 shingles), with a standard deviation of 6. Candidates are verified: a pair is a
+link if the shingle sets are as similar as asked. Groups are components of links.
+
+Parts of the bits can't deal shards here, as they do within 2 bits: at 38 of 256 bits
+a pair agrees on 16 given ones with probability 0.07. Shards are dealt by minima of
+shingles: ``BANDS`` keys a content, each the hash of ``ROWS`` minima under different
 permutations. Two contents of similarity s share a key with probability
-1 - (1 - s ** ROWS) ** BANDS, 0.9998 at 0.8. Up to ``ALL_PAIRS`` contents under a
-key are all paired; of more, each is first paired with the least, the greatest and the
-one whose keys are shared most. A pair is a link if the shingle sets are as similar as
-asked. Groups are components of links.
+1 - (1 - s ** ROWS) ** BANDS, 0.9998 at 0.8. A shard of up to ``ALL_PAIRS`` contents
+gives all pairs within the radius. A larger one is cut into trees of about ``TREE``
+fingerprints, each with the least, the greatest and the content whose keys are shared
+most; every content gives its pairs with these three and its nearest neighbour.
 
 A key whose contents these links leave in one component needs no more. Under any
-other key, every content outside its largest component is compared with every
+other large key, every content outside its largest component is compared with every
 content of another component, block by block, so no link between components is
 lost. A task holds two blocks and gives only links that join components.
 """
@@ -20,14 +28,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash_dedup import components, first_rows, row_key
+from .simhash_dedup import components, first_rows, row_key, tree_pairs, wide_fingerprints
 from .text import U64, Words, grouped, mix, sequence_hashes
 from .workspace import discard, materialise, pick, salted_join, small_side
 
 #: Words in a shingle, least similarity of a link, keys of a content, minima in a key.
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 16, 4
-#: Contents under a key up to which all of them are paired.
-ALL_PAIRS = 16
+#: Bits of 256 by which the fingerprints of candidates differ at most.
+RADIUS = 80
+#: Contents under a key up to which all of them within the radius are paired, and in a BK-tree of more, on average.
+ALL_PAIRS, TREE = 16, 256
 #: Contents and bytes of shingle sets in a block, on average.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
 BUDGET = 2 << 20
@@ -74,7 +84,7 @@ def _signed(values) -> list[int]:
 
 
 def _keys(batches):
-    """z, d, t, content, keys of every row."""
+    """z, d, t, content, keys and fingerprint of every row."""
     import pyarrow as pa
 
     for texts, rest in grouped(batches, BUDGET, ["z", "d", "t"]):
@@ -83,7 +93,8 @@ def _keys(batches):
         bounds = np.concatenate(([0], np.cumsum(np.where(has, BANDS, 0)))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))
         columns = [pa.array(rest["z"], pa.int32()), pa.array(rest["d"], pa.int64()), pa.array(rest["t"], pa.int64()), pa.array(_signed(contents(hashes, first)), pa.int64()), lists]
-        yield pa.RecordBatch.from_arrays(columns, ["z", "d", "t", "content", "keys"])
+        columns.append(pa.array([x.tobytes() for x in wide_fingerprints(hashes, first)], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, ["z", "d", "t", "content", "keys", "print"])
 
 
 def _sets(batches):
@@ -197,14 +208,18 @@ def links(rows: DataFrame, distinct: DataFrame, least: float, made: list) -> Dat
     ends = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).filter("n > 1")
     ends = small_side(write(ends, "band-ends"))
     shared = write(keys.join(ends, "key"), "shared-keys")
-    few = shared.filter(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.collect_list("content").alias("other"))
-    few = few.select(F.explode("other").alias("content"), "other")
-    many = large = shared.filter(F.col("n") > ALL_PAIRS)
-    central = many.groupBy("content").agg(F.sum("n").alias("weight"))
-    middle = many.join(central, "content").groupBy("key").agg(F.max_by("content", F.struct("weight", "content")).alias("middle"))
-    many = many.join(small_side(write(middle, "band-middles")), "key").select("content", F.array("low", "high", "middle").alias("other"))
-    pairs = few.union(many).select("content", F.explode("other").alias("other")).filter("content <> other")
-    pairs = write(pairs.select(F.least("content", "other").alias("u"), F.greatest("content", "other").alias("v")).distinct(), "candidates")
+    few = shared.filter(F.col("n") <= ALL_PAIRS).select("key", F.lit(0).alias("block"), "content", F.lit(False).alias("hub"))
+    large = shared.filter(F.col("n") > ALL_PAIRS)
+    central = large.groupBy("content").agg(F.sum("n").alias("weight"))
+    middle = large.join(central, "content").groupBy("key", "n", "low", "high").agg(F.max_by("content", F.struct("weight", "content")).alias("middle"))
+    middle = write(middle, "band-middles")
+    trees = F.ceil(F.col("n") / TREE)
+    many = large.select("key", F.pmod(F.xxhash64("content", F.lit("tree")), trees).cast("int").alias("block"), "content", F.lit(False))
+    hubs = middle.select("key", "n", F.explode(F.array("low", "high", "middle")).alias("content"))
+    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), trees.cast("int") - 1)).alias("block"), "content", F.lit(True))
+    dealt = few.union(many).union(hubs).join(distinct.select("content", "print"), "content")
+    dealt = dealt.select("key", "block", "content", "hub", "print").repartition("key", "block").sortWithinPartitions("key", "block", "content")
+    pairs = write(dealt.mapInArrow(tree_pairs(RADIUS), "u long, v long").distinct(), "candidates")
     named = pairs.select(F.explode(F.array("u", "v")).alias("content")).distinct().join(distinct, "content").select("content", "first.*")
     named = small_side(write(named, "candidate-documents"))
     sets = rows.join(named, ["z", "d", "t"]).select("content", "text").mapInArrow(_sets, "content long, shingles binary")
@@ -220,8 +235,8 @@ def links(rows: DataFrame, distinct: DataFrame, least: float, made: list) -> Dat
 def members(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """z, d, t, root: the group of each row of ``docs``. Texts without words are one group."""
     rows = pick(docs, "doc_id", "text").select(*row_key(F.col("doc_id"), F.col("text")), "text")
-    found = materialise(rows.mapInArrow(_keys, f"{KEY}, content long, keys array<long>"), "band-keys")
-    distinct = found.groupBy("content").agg(F.min(F.struct("z", "d", "t")).alias("first"), F.any_value("keys").alias("keys"))
+    found = materialise(rows.mapInArrow(_keys, f"{KEY}, content long, keys array<long>, print binary"), "band-keys")
+    distinct = found.groupBy("content").agg(F.min(F.struct("z", "d", "t")).alias("first"), F.any_value("keys").alias("keys"), F.any_value("print").alias("print"))
     distinct = materialise(distinct, "contents")
     made = [found, distinct]
     made.append(components(links(rows, distinct, least, made)))

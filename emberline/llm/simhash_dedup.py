@@ -18,13 +18,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, Words, grouped
+from .text import ROWS_AT_ONCE, U64, Words, grouped, mix
 from .workspace import discard, materialise, pick, salted_join, small_side
 
 #: Fixed values of the task: words in a shingle, seed of its hash, bits of a link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BUDGET = 2 << 20
 BITS_AT_ONCE = 100_000
+#: 64-bit words of a wide fingerprint, hashes counted at once, most of them in one sum of byte lanes.
+WIDE, WIDE_AT_ONCE, LANE = 4, 8160, 255
+#: A byte's bits, the highest first, in eight lanes of a byte each.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
 
 
 def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -59,6 +63,26 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
     return np.packbits(ones * 2 > count[:, None], axis=1).view(">u8").astype(U64).ravel()
 
 
+def wide_fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of 64 * ``WIDE`` bits, one row of bytes for each text; text i has hashes first[i] up to first[i + 1], each counted once."""
+    hashes = hashes.copy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        hashes[a:b].sort()
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    ones = np.zeros((len(first) - 1, 64 * WIDE), np.int64)
+    for a in range(0, len(hashes), WIDE_AT_ONCE):
+        part, own = hashes[a : a + WIDE_AT_ONCE], owner[a : a + WIDE_AT_ONCE]
+        drawn = np.stack([mix(part + U64(k)) for k in range(1, WIDE + 1)], axis=1).view(np.uint8)
+        cut = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.arange(len(own)) % LANE == 0))
+        sums = np.add.reduceat(LANES[drawn], cut, axis=0).view(np.uint8)
+        begin = np.flatnonzero(np.diff(own[cut], prepend=-1))
+        ones[own[cut][begin]] += np.add.reduceat(sums, begin, axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > np.bincount(owner, minlength=len(ones))[:, None], axis=1)
+
+
 def _fingerprints(shingle: int, seed: int):
     def run(batches):
         import pyarrow as pa
@@ -91,6 +115,20 @@ class BKTree:
                     stack.append(children[edge])
         return found
 
+    def nearest(self, value: int, radius: int) -> int | None:
+        """Number of a node at most ``radius`` bits from ``value`` that none is nearer to."""
+        found, stack = None, [(0, 0)] if self.nodes else []
+        while stack:
+            bound, k = stack.pop()
+            if bound > radius:
+                continue
+            own, children = self.nodes[k]
+            d = (own ^ value).bit_count()
+            if d <= radius:
+                found, radius = k, d - 1
+            stack.extend((abs(edge - d), child) for edge, child in children.items() if abs(edge - d) <= radius)
+        return found
+
     def add(self, value: int) -> int:
         number = len(self.nodes)
         if number:
@@ -128,6 +166,67 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def shard_pairs(prints: dict[int, int], hubs: list[int], radius: int) -> list[tuple[int, int]]:
+    """Pairs of keys of ``prints`` with fingerprints at most ``radius`` bits apart, found by a BK-tree of these.
+
+    All of them without ``hubs``. With some: every key's pairs with hubs, and one with the nearest key before it.
+    """
+    tree, alike, out = BKTree(), [], []
+    middle, at_middle = BKTree(), []
+
+    def insert(into: BKTree, keys: list, key: int, value: int, equal: int | None) -> None:
+        if equal is not None and into.nodes[equal][0] == value:
+            keys[equal].append(key)
+        else:
+            into.add(value)
+            keys.append([key])
+
+    for key in [*hubs, *(k for k in prints if k not in hubs)]:
+        value = prints[key]
+        nearest = tree.nearest(value, radius)
+        if not hubs:
+            out.extend((key, other) for k in (tree.within(value, radius) if nearest is not None else ()) for other in alike[k])
+        else:
+            out.extend((key, other) for k in middle.within(value, radius) for other in at_middle[k])
+            if nearest is not None:
+                out.append((key, alike[nearest][-1]))
+            if key in hubs:
+                insert(middle, at_middle, key, value, middle.nearest(value, 0))
+        insert(tree, alike, key, value, nearest)
+    return out
+
+
+def tree_pairs(radius: int):
+    """u, v: ``shard_pairs`` of each run of rows with equal (key, block); the runs come sorted. Rows have content, hub and print."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, prints, hubs, u, v = None, {}, [], [], []
+
+        def search():
+            if len(prints) > 1:
+                for a, b in shard_pairs(prints, hubs, radius):
+                    u.append(min(a, b))
+                    v.append(max(a, b))
+
+        for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
+            columns = (batch.column(c).to_pylist() for c in ("key", "block", "content", "hub", "print"))
+            for k, block, content, hub, value in zip(*columns, strict=True):
+                if (k, block) != key:
+                    search()
+                    key, prints, hubs = (k, block), {}, []
+                prints[content] = int.from_bytes(value, "big")
+                if hub and content not in hubs:
+                    hubs.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v)], ["u", "v"])
+            u, v = [], []
+        search()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v)], ["u", "v"])
+
+    return run
+
+
 def _shards(radius: int):
     """Links of each run of rows with equal (part, value); the runs come sorted."""
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberline.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity
+from emberline.llm import exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, row string, key string, size long, t long, part int"
@@ -331,3 +331,74 @@ def test_portions():
         parts = [p.column("line").to_pylist() for p in line_dedup._portions(pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["line"]))]
         assert [x for p in parts for x in p] == some and all(parts)
         assert all(len(p) == 1 or (len(p) <= line_dedup.LINES_AT_ONCE and sum(map(len, p)) <= line_dedup.AT_ONCE) for p in parts)
+
+
+def _edited(rng, n: int, edits: int) -> list[str]:
+    """A text of n words, and its like with some words replaced."""
+    words = [f"v{rng.randrange(3000)}" for _ in range(n)]
+    other = list(words)
+    for _ in range(edits):
+        other[rng.randrange(n)] = f"z{rng.randrange(10**6)}"
+    return [" ".join(words), " ".join(other)]
+
+
+def test_near_dedup_fingerprints():
+    """Wide fingerprints are majorities over distinct shingles, and those of links lie within the radius, of others beyond it."""
+    rng = random.Random(21)
+    texts = [t for k in range(300) for t in _edited(rng, *[(600, 6), (150, 3), (60, 1)][k % 3])]
+    for k in range(300):  # 4 and 5 shingles
+        words = [f"s{k}x{i}" for i in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    texts += ["", "w", " ".join(["a b c d e"] * 400), "A b c d e a b c d e"]
+    hashes, first = near_dedup.shingles([t.encode() for t in texts])
+    got = [int.from_bytes(x.tobytes(), "big") for x in simhash_dedup.wide_fingerprints(hashes, first)]
+    sets = [set(hashes[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    for i in (0, 1, 601, 1000, len(texts) - 4, len(texts) - 3, len(texts) - 2):
+        drawn = [simhash_dedup.mix(np.array([(h + k) % 2**64 for h in sets[i]], np.uint64)).view(np.uint8).reshape(-1, 8) for k in range(1, 5)]
+        bits = np.unpackbits(np.concatenate(drawn, axis=1), axis=1)
+        assert got[i] == int.from_bytes(np.packbits(bits.sum(axis=0) * 2 > len(bits)).tobytes(), "big")
+    assert got[-1] == got[-2] and sets[-1] == sets[-2]
+    linked = [(i, i + 1) for i in range(0, 1200, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
+    assert len(linked) > 450
+    assert all((got[i] ^ got[j]).bit_count() <= near_dedup.RADIUS for i, j in linked)
+    assert all((got[i] ^ got[i + 2]).bit_count() > near_dedup.RADIUS for i in range(0, 1198, 2))
+
+
+def test_near_dedup_trees():
+    """A shard's BK-tree gives all pairs within the radius; with hubs, pairs with these and the nearest before."""
+    rng = random.Random(22)
+    centres = [rng.getrandbits(256) for _ in range(4)]
+    prints = {k: centres[k % 4] ^ sum(1 << b for b in rng.sample(range(256), rng.randrange(60))) for k in range(80)}
+    prints[80] = prints[81] = prints[3]
+
+    def apart(a, b):
+        return (prints[a] ^ prints[b]).bit_count()
+
+    found = simhash_dedup.shard_pairs(prints, [], 50)
+    assert len(found) == len({frozenset(p) for p in found})
+    assert {frozenset(p) for p in found} == {frozenset((a, b)) for a in prints for b in prints if a < b and apart(a, b) <= 50}
+    hubs = [5, 2, 81]
+    order = [*hubs, *(k for k in prints if k not in hubs)]
+    found = simhash_dedup.shard_pairs(prints, hubs, 50)
+    for i, a in enumerate(order):
+        others = {y for x, y in found if x == a}
+        least = min([apart(a, b) for b in order[:i]], default=256)
+        assert {b for b in hubs if b in order[:i] and apart(a, b) <= 50} <= others <= set(order[:i])
+        assert least > 50 or least in {apart(a, b) for b in others}
+
+
+@pytest.mark.parametrize("pairs, tree", [(near_dedup.ALL_PAIRS, near_dedup.TREE), (2, 7)])
+def test_near_dedup_by_trees(spark, monkeypatch, pairs, tree):
+    """The pipeline's links come out of the trees: at no radius distinct texts stay, at the given one each family is one row."""
+    rng = random.Random(23)
+    texts = []
+    for k in range(6):
+        words = [f"f{k}w{i}" for i in range(500)]
+        texts += [" ".join(words[:j] + [f"z{j}"] + words[j + 1 :]) for j in rng.sample(range(500), 12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "RADIUS", -1)
+    assert corpus_pipeline.near(spark, frame, "").count() == len(texts)
+    monkeypatch.undo()
+    monkeypatch.setattr(near_dedup, "ALL_PAIRS", pairs)
+    monkeypatch.setattr(near_dedup, "TREE", tree)
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, frame, "").collect()) == list(range(0, 72, 12))
